@@ -104,7 +104,8 @@ class UnitGrammar:
         self.codes = {f"u{i}": code for i, code in enumerate(words)}
         self.unit = "|".join(f"(?P<u{i}>{'|'.join(words[code])})" for i, code in enumerate(words))
         plain = "(?:" + re.sub(r"\?P<u\d+>", "?:", self.unit) + ")"
-        signs = "|".join(sorted((re.escape(s) for s, c in self.by_symbol.items() if self.units.get(c)), key=len, reverse=True))
+        self.before = {s: c for s, c in self.by_symbol.items() if len(s) > 1 and c in self.units} | {c.lower(): c for c in self.units if len(c) > 2}
+        signs = "|".join(sorted(map(re.escape, self.before), key=len, reverse=True))
         self.prefix = re.compile(rf"(?<![\w$/])(?P<sign>{signs})\s*$", re.I) if signs else None
         end = r"(?![\w³$/])"
         self.after, self.heading, self.scale_only = {}, {}, {}
@@ -145,7 +146,7 @@ class UnitGrammar:
         m = self.prefix.search(before) if self.prefix else None
         if m:
             s = self.scale_only[lang].match(after)
-            return self.units[self.by_symbol[m["sign"].lower()]], self._power(s["scale"], lang) if s else 0
+            return self.units[self.before[m["sign"].lower()]], self._power(s["scale"], lang) if s else 0
         m = self.after[lang].match(after)
         if m:
             unit = self.units[self._code(m)]
