@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestat.plans import dealt
+from lodestat.plans import claims, dealt, observations
 
-QUERIES = {**dealt.QUERIES}
-SQL = {**dealt.SQL}
+QUERIES = {**observations.QUERIES, **claims.QUERIES, **dealt.QUERIES}
+SQL = {**observations.SQL, **claims.SQL, **dealt.SQL}
