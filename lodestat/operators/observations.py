@@ -203,7 +203,7 @@ def series_breaks(timed: DataFrame) -> DataFrame:
 
 def series_hash(series_key: Column) -> Column:
     """Identity of a series: SHA-256 of its key as a JSON string."""
-    quoted = F.regexp_replace(F.regexp_replace(series_key, r"\\", r"\\\\\\\\"), '"', r'\\\\"')
+    quoted = F.regexp_replace(series_key, r'(["\\])', r"\\$1")
     return F.sha2(F.concat(F.lit('"'), quoted, F.lit('"')), 256)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestat.plans import claims, dealt, observations
+from lodestat.plans import claims, dealt, events, observations
 
-QUERIES = {**observations.QUERIES, **claims.QUERIES, **dealt.QUERIES}
-SQL = {**observations.SQL, **claims.SQL, **dealt.SQL}
+QUERIES = {**observations.QUERIES, **claims.QUERIES, **events.QUERIES, **dealt.QUERIES}
+SQL = {**observations.SQL, **claims.SQL, **events.SQL, **dealt.SQL}

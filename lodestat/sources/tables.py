@@ -55,8 +55,9 @@ def release(*dfs: DataFrame) -> None:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df`` in bytes: file sizes, no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of ``df`` in bytes: file sizes, no job; where it has none, a count of rows."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 56 else 128 * df.count()
 
 
 def bucket_count(df: DataFrame, *others: DataFrame, bytes_per_bucket: int = 16 << 20) -> int:
