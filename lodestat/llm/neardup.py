@@ -23,6 +23,9 @@ BATCH = 18
 #: Probability of pruning a pair whose similarity reaches the threshold.
 MISS = 1e-5
 
+#: The same for the first batch, the number of agreeing bands. A pair of similarity 0.65 has one band or none in 1 case of 40 000.
+BAND_MISS = 1e-4
+
 _WORD = re.compile("[a-z0-9]+")
 _MARKS = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]")
 
@@ -75,6 +78,22 @@ def keep_bounds(threshold: float, n: int, batch: int = BATCH, miss: float = MISS
     return tuple(out)
 
 
+def least_bands(threshold: float, bands: int = BANDS, rows: int = ROWS, miss: float = BAND_MISS) -> int:
+    """Fewest agreeing bands with which the posterior probability of reaching the threshold is at least ``miss``.
+
+    A band of ``rows`` positions agrees with probability s**rows at similarity s;
+    the prior is uniform. This is the first batch of the sequential test.
+    """
+    grid = (np.arange(4000) + 0.5) / 4000
+    p = grid**rows
+    for m in range(1, bands + 1):
+        log = m * np.log(p) + (bands - m) * np.log1p(-p)
+        weight = np.exp(log - log.max())
+        if weight[grid >= threshold].sum() >= miss * weight.sum():
+            return m
+    return bands
+
+
 def survives(a: np.ndarray, b: np.ndarray, bounds: Sequence[tuple[int, int]]) -> np.ndarray:
     """Which pairs of signature rows pass all batches of the sequential test."""
     alive, matches, done = np.arange(len(a)), np.zeros(len(a), dtype=np.int32), 0
@@ -126,13 +145,15 @@ def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
 
     Sets that agree in any band are candidates. The join on the band key lets AQE
     split hot bands; no pair is dropped by a cap. The sequential test prunes
-    candidates by their signatures alone; the survivors are verified on the sets.
+    candidates, first by the number of agreeing bands, then by batches of their
+    signatures; the survivors are verified on the sets.
     """
     n = ROWS * BANDS
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.slice("sig", i * ROWS + 1, ROWS), i))
     banded = reps.select("id", F.explode(band).alias("band"))
     left, right = banded.select(F.col("id").alias("a"), "band"), banded.select(F.col("id").alias("b"), "band")
-    candidates = left.join(right, "band").where("a < b").select("a", "b").distinct()
+    agreeing = left.join(right, "band").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("bands"))
+    candidates = agreeing.where(F.col("bands") >= least_bands(threshold)).select("a", "b")
     bounds = keep_bounds(threshold, n)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
