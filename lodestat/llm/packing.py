@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Windows that a block is meant to fill; a block is packed in one task.
-WINDOWS_PER_BLOCK = 96
+WINDOWS_PER_BLOCK = 192
 
 
 def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,13 +72,36 @@ def _sparse(parts: dict, i: int, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return parts[i] if i in parts else (sizes[:0], np.zeros(0, dtype=int))
 
 
+def swap_over(own: np.ndarray, window: np.ndarray, sums: np.ndarray, capacity: int) -> None:
+    """Bring windows under the capacity by swapping an item for a smaller one of a window with room; changes its arguments."""
+    for w in np.argsort(-sums, kind="stable").tolist():
+        while sums[w] > capacity:
+            excess, best = int(sums[w] - capacity), None
+            room = capacity - sums[window]
+            for i in np.flatnonzero(window == w).tolist():
+                gain = own[i] - own  # what the other window takes on
+                fits = np.flatnonzero((gain >= excess) & (gain <= room) & (window != w))
+                if len(fits):
+                    j = int(fits[np.argmin(gain[fits])])
+                    if best is None or gain[j] < best[0]:
+                        best = (int(gain[j]), i, j)
+            if best is None:
+                break
+            gain, i, j = best
+            other = window[j]
+            window[i], window[j] = other, w
+            sums[w] -= gain
+            sums[other] += gain
+
+
 def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Window of each item, with no window over ``capacity``; the number of windows rises until all fit.
 
-    Differencing gives near-equal windows. Where one exceeds the capacity, the
-    items that overfill it move to the windows they fill best; those that fit
-    nowhere are differenced again into further windows. ``sizes`` must be in
-    descending order and none larger than the capacity.
+    Differencing gives near-equal windows. One that exceeds the capacity swaps an
+    item for a smaller one of a window with room. Where that can't be, the least
+    item that makes up for the excess moves to the window that it fills best;
+    items that fit nowhere are differenced again into further windows.
+    ``sizes`` must be in descending order and none larger than the capacity.
     """
     sizes = np.asarray(sizes, dtype=np.int64)
     placed, todo, first = np.full(len(sizes), -1), np.arange(len(sizes)), 0
@@ -87,11 +110,16 @@ def pack(sizes: np.ndarray, capacity: int) -> np.ndarray:
         own = sizes[todo]
         k = max(1, -(-int(own.sum()) // capacity), int((own * 2 > capacity).sum()))
         window, sums = difference(own, k)
+        swap_over(own, window, sums, capacity)
         out = np.zeros(len(todo), dtype=bool)
-        for i in range(len(todo) - 1, -1, -1):  # from the smallest item on
-            if sums[window[i]] > capacity:
-                sums[window[i]] -= own[i]
+        for w in np.flatnonzero(sums > capacity).tolist():
+            held = np.flatnonzero(window == w)  # in descending order of size
+            while sums[w] > capacity:  # the least item that makes up for the excess, else the greatest
+                enough = held[own[held] >= sums[w] - capacity]
+                i = enough[-1] if len(enough) else held[0]
+                sums[w] -= own[i]
                 out[i] = True
+                held = held[held != i]
         placed[todo] = np.where(out, -1, window + first)
         room += (capacity - sums).tolist()
         first += k
