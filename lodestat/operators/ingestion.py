@@ -49,7 +49,8 @@ def assess(rows: DataFrame, key: str, measure: str, rules: Sequence[Rule]) -> Da
     Values are compared as decimals. A missing or unreadable measure fails every
     rule; an unknown kind or an unusable bound is an ERROR.
     """
-    spec = rows.sparkSession.createDataFrame([(r.code, r.kind, r.severity, r.minimum, r.maximum) for r in rules], "rule string, kind string, severity string, lo string, hi string")
+    names = ("rule", "kind", "severity", "lo", "hi")
+    spec = F.array(*(F.struct(*(F.lit(v).cast("string").alias(n) for n, v in zip(names, (r.code, r.kind, r.severity, r.minimum, r.maximum)))) for r in rules))
     value = F.when(F.col(measure).rlike(DECIMAL), F.col(measure).try_cast("decimal(38,12)"))
     lo, hi = F.col("lo").try_cast("decimal(38,12)"), F.col("hi").try_cast("decimal(38,12)")
     bad = (F.col("lo").isNotNull() & lo.isNull()) | (F.col("hi").isNotNull() & hi.isNull())
@@ -59,7 +60,7 @@ def assess(rows: DataFrame, key: str, measure: str, rules: Sequence[Rule]) -> Da
         .when(F.col("kind") == "NUMERIC_RANGE", value.isNotNull() & F.coalesce(value >= lo, F.lit(True)) & F.coalesce(value <= hi, F.lit(True)))
     )
     status = F.when(bad | passed.isNull(), "ERROR").when(passed, "PASS").otherwise("FAIL")
-    return rows.select(key, measure).crossJoin(F.broadcast(spec)).select(key, "rule", "severity", status.alias("status"))
+    return rows.select(key, measure, F.explode(spec).alias("r")).select(key, measure, "r.*").select(key, "rule", "severity", status.alias("status"))
 
 
 def issues(assessments: DataFrame) -> DataFrame:

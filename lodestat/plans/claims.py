@@ -13,6 +13,10 @@ from lodestat.operators import observations as O
 from lodestat.sources.tables import table
 
 
+#: Categories that each day should have.
+REQUIRED_CATEGORIES = ("FX_OFFICIAL", "UFV", "SOVEREIGN_BONDS")
+
+
 def cand(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "candidate")
 
@@ -181,9 +185,9 @@ def outcome_tally(spark, d):
 
 
 def category_coverage(spark, d):
-    """The pairs of claim type and category that no candidate has."""
-    want = cand(spark, d).where("claim_type IS NOT NULL").select("claim_type").distinct().crossJoin(cand(spark, d).where("data_category IS NOT NULL").select("data_category").distinct())
-    return want.join(cand(spark, d).select("claim_type", "data_category").distinct(), ["claim_type", "data_category"], "left_anti")
+    """The required categories that no claim of a day covers."""
+    days = cand(spark, d).where("event_date IS NOT NULL").groupBy("event_date").agg(F.collect_set("data_category").alias("have"))
+    return days.select("event_date", F.array_join(F.array_except(F.array(*map(F.lit, REQUIRED_CATEGORIES)), "have"), ",").alias("missing")).where("missing <> ''")
 
 
 def local_dates(spark, d):
@@ -311,8 +315,8 @@ SQL = {
     "outcome_tally": f"SELECT {_ROUTE} AS route, count(*) AS n FROM candidate GROUP BY 1",
     "retry_decisions": """SELECT response_id, CAST(a AS INTEGER) AS attempt, CASE WHEN a > 5 THEN 'DEAD_LETTER' ELSE 'RETRY' END AS action, CASE WHEN a <= 5 THEN CAST(least(30 * pow(2, a - 1), 3600) AS INTEGER) END AS delay_seconds
         FROM (SELECT response_id, response_id % 8 + count(*) AS a FROM source_response GROUP BY response_id)""",
-    "category_coverage": """SELECT claim_type, data_category FROM (SELECT DISTINCT claim_type FROM candidate WHERE claim_type IS NOT NULL), (SELECT DISTINCT data_category FROM candidate WHERE data_category IS NOT NULL)
-        EXCEPT SELECT claim_type, data_category FROM candidate""",
+    "category_coverage": """SELECT event_date, array_to_string(list_filter(['FX_OFFICIAL', 'UFV', 'SOVEREIGN_BONDS'], lambda x: NOT list_contains(have, x)), ',') AS missing
+        FROM (SELECT event_date, coalesce(list(DISTINCT data_category) FILTER (data_category IS NOT NULL), []) AS have FROM candidate WHERE event_date IS NOT NULL GROUP BY 1) WHERE missing <> ''""",
     "local_dates": "SELECT DISTINCT observation_revision_id, CAST(timezone('America/La_Paz', capture_date) AS DATE) AS local_day, CAST(timezone('America/La_Paz', capture_date) AS DATE) = CAST(timezone('UTC', capture_date) AS DATE) AS same_day FROM observation_revision WHERE capture_date IS NOT NULL",
     "publication_window": "SELECT candidate_id, CASE WHEN event_date IS NULL THEN 'MISSING_PUBLICATION_DATE' WHEN event_date < DATE '2022-01-01' OR event_date > DATE '2023-12-31' THEN 'OUTSIDE_PUBLICATION_WINDOW' ELSE 'INSIDE' END AS issue FROM candidate",
     "search_ilike": "SELECT economic_entity_id, canonical_name FROM economic_entity WHERE canonical_name ILIKE '%banco%' OR short_name ILIKE '%b%' ORDER BY canonical_name, economic_entity_id LIMIT 200",
