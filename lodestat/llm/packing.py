@@ -143,7 +143,11 @@ def pieces(counts: DataFrame, containers: DataFrame) -> DataFrame:
 
     A text longer than the capacity is cut into full containers and one rest.
     """
-    both = counts.crossJoin(F.broadcast(containers.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").limit(1000)))
+    kinds = containers.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().limit(1001).collect()
+    if len(kinds) > 1000:
+        raise ValueError("token_container is meant to be a short list")
+    each = F.array(*(F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("int").alias("capacity_tokens")) for k, c in kinds)).cast("array<struct<container_kind:string,capacity_tokens:int>>")
+    both = counts.select("doc_id", "n_tokens", F.explode(each).alias("c")).select("doc_id", "n_tokens", "c.*")
     n, cap = F.col("n_tokens"), F.col("capacity_tokens").cast("long")
     last = F.when(n > 0, F.ceil(n / cap) - 1).otherwise(0).cast("int")
     cut = both.select("container_kind", "capacity_tokens", "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), last)).alias("part"))
