@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestat.sources.tables import materialise
+from lodestat.sources.tables import materialise, release
 
 #: More rounds than any input of a 64-bit row count needs; reached only through a fault.
 MAX_ROUNDS = 400
@@ -110,7 +110,10 @@ def hierarchy(tree: DataFrame) -> DataFrame:
             F.when(on_loop, -1).when(F.col("p_depth") < 0, -2).otherwise(F.col("p_depth") + F.col("w")).alias("depth"),
             F.when(~on_loop, F.col("size") + F.coalesce("k_size", F.lit(0))).alias("size"),
         )
-        done = materialise(done.unionByName(back))
+        before, done = done, materialise(done.unionByName(back))
+        release(before)
+    if removed:
+        release(*removed)
     return done.select(
         F.col("id").alias("node_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"),
         F.coalesce(F.col("size") - 1, F.lit(-1)).cast("int").alias("descendants"),
@@ -131,9 +134,10 @@ def paths(tree: DataFrame, nodes: DataFrame) -> DataFrame:
     reach = 1
     while reach <= top:
         above = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("above"))
-        state = materialise(
+        before, state = state, materialise(
             state.join(above, "up", "left").select("id", "depth", F.col("up2").alias("up"), F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path")).alias("path"))
         )
+        release(before)
         reach *= 2
     return nodes.join(state.select(F.col("id").alias("node_id"), "path"), "node_id", "left")
 

@@ -28,11 +28,14 @@ def intervals(revisions: DataFrame, keys: Sequence[str] = OBSERVATION, at: str =
     """Number the valid revisions of each observation and close each one's interval at the next one's start.
 
     Adds ``version``, ``valid_from``, ``valid_to``, ``is_current``. Revisions that
-    never became valid take no part; rows with a null time drop out.
+    never became valid take no part; rows with a null time drop out; a revision
+    that was delivered again follows itself and is dropped. All of it happens on
+    one shuffle and one sort by observation.
     """
     w = W.partitionBy(*keys).orderBy(F.col(at), F.col(tie))
-    valid = distinct_revisions(revisions).where(F.col("status").isin("PUBLISHED", "SUPERSEDED") & F.col(at).isNotNull())
-    timed = valid.withColumn("version", F.row_number().over(w)).withColumn("valid_from", F.col(at)).withColumn("valid_to", F.lead(at).over(w))
+    valid = revisions.where(F.col("status").isin("PUBLISHED", "SUPERSEDED") & F.col(at).isNotNull())
+    once = valid.withColumn("_before", F.lag(tie).over(w)).where(~F.col("_before").eqNullSafe(F.col(tie))).drop("_before")
+    timed = once.withColumn("version", F.row_number().over(w)).withColumn("valid_from", F.col(at)).withColumn("valid_to", F.lead(at).over(w))
     return timed.withColumn("is_current", F.col("valid_to").isNull())
 
 
