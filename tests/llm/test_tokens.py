@@ -3,8 +3,7 @@ import random
 
 import pytest
 
-from lodestat.llm.tokens import decode_ids, encode_column, encode_text, encoding, safe_pieces
-from lodestat.sources.tables import default_tokenizer_dir
+from lodestat.llm.tokens import decode_ids, default_tokenizer_dir, encode_column, encode_text, encoding, safe_pieces
 
 FOLDER = default_tokenizer_dir()
 pytestmark = pytest.mark.skipif(not os.path.exists(f"{FOLDER}/byte_bpe_50k.tiktoken"), reason="no vocabulary files here")
