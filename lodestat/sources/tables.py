@@ -85,7 +85,3 @@ def bucket_count(df: DataFrame, *others: DataFrame, bytes_per_bucket: int = 16 <
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, -(-total // bytes_per_bucket))
 
-
-def default_tokenizer_dir() -> str:
-    """Folder of the public vocabulary files; a parameter of every operator that reads one."""
-    return os.environ.get("LODESTAT_TOKENIZERS", "/opt/tokenizers")
