@@ -14,8 +14,10 @@ from lodestat.functions.urls import ENCODINGS
 
 #: Byte-order marks.
 MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16le"), (b"\xfe\xff", "utf-16be"))
+#: Patterns of a declared charset, a meta tag and a sha-256 member of a digest header.
 _CHARSET = re.compile(r"""\bcharset\s*=\s*(?:"([^"]+)"|'([^']+)'|([^;\s>"']+))""", re.I)
 _META = re.compile(r"<meta\b[^>]{0,1000}>", re.I)
+_SHA_MEMBER = r"(?i)(?:^|,)\s*sha-256\s*=\s*:([A-Za-z0-9+/]*={0,2}):(?:\s*;[^,]*)?(?=\s*(?:,|$))"
 
 
 def _declared(text: str | None) -> str | None:
@@ -90,7 +92,7 @@ def sniffed(body: pd.Series, declared: pd.Series) -> pd.DataFrame:
 
 def digest_status(header: Column, body: Column, content_encoding: Column) -> Column:
     """a Content-Digest header against the body: MATCHED, MISMATCHED, ENCODED_NOT_COMPARABLE, UNDECLARED, UNSUPPORTED or INVALID."""
-    found = F.regexp_extract_all(header, F.lit(r"(?i)(?:^|,)\s*sha-256\s*=\s*:([A-Za-z0-9+/]*={0,2}):(?:\s*;[^,]*)?(?=\s*(?:,|$))"), 1)
+    found = F.regexp_extract_all(header, F.lit(_SHA_MEMBER), 1)
     value = F.try_element_at(found, F.lit(1))
     actual = F.base64(F.unhex(F.sha2(body, 256)))
     return (

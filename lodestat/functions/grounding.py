@@ -23,6 +23,7 @@ UNIT_AFTER = {"BOB": r"\s*bolivianos?\b", "USD": r"\s*dólares?\b", "PERCENTAGE_
 LITRE, TONNE = re.compile(r"(?:^|[\s/])(?:por\s+)?(?:litros?|l)\b"), re.compile(r"(?:^|\s)(?:toneladas?|t)\b")
 COVERAGE = 0.5
 
+#: Patterns of a figure, a word, and a word or stop.
 _FIGURE = re.compile(r"(?<![^\W_])[+-]?\d+(?:[.,]\d+)*")
 _WORD = re.compile(r"[^\W\d_][^\W_]*")
 _TOKEN = re.compile(r"[^\W\d_][^\W_]*|[.,;:!?]")
