@@ -1,6 +1,6 @@
 import random
 
-from lodestat.llm.neardup import all_pairs, class_links, keep_bounds, near_duplicates, shingle_hashes, similar_pairs, survives, words
+from lodestat.llm.neardup import all_pairs, class_links, keep_bounds, near_duplicates, shingle_hashes, survives, words
 
 
 def table(spark, rows):
