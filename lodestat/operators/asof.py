@@ -24,8 +24,8 @@ _SALT = "__salt"
 def _bucket_join(keys: Sequence[str], as_of: str, left_cols: Sequence[str], payload: Sequence[str], schema: pa.Schema):
     """The function run on one bucket: build the versions' running best, then ASOF join."""
     quote = lambda c: '"' + c.replace('"', '""') + '"'
-    by = ", ".join(f"e{i}" for i in range(len(keys)))
-    on = " AND ".join(f"r.e{i} = s.e{i}" for i in range(len(keys)))
+    by = ", ".join(f"__e{i}" for i in range(len(keys)))
+    on = " AND ".join(f"r.__e{i} = s.__e{i}" for i in range(len(keys)))
     left = ", ".join(f"r.{quote(c)}" for c in left_cols)
     right = ", ".join(f"s.best.{quote(c)} AS {quote('v_' + c)}" for c in payload)
     sql = f"""
@@ -98,21 +98,21 @@ def as_known_at(
     known = versions.where(F.col(available[0]).isNotNull() & reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
     avail = F.greatest(*(F.col(c) for c in available)) if len(available) > 1 else F.col(available[0])
     history = (
-        known.select(*(F.col(k).alias(f"e{i}") for i, k in enumerate(keys)), avail.alias(_AVAIL), F.struct(*fields).alias(_RANK))
-        .groupBy(*(f"e{i}" for i in range(len(keys))), _AVAIL)
+        known.select(*(F.col(k).alias(f"__e{i}") for i, k in enumerate(keys)), avail.alias(_AVAIL), F.struct(*fields).alias(_RANK))
+        .groupBy(*(f"__e{i}" for i in range(len(keys))), _AVAIL)
         .agg(F.max(_RANK).alias(_RANK))
     )
     left_cols = requests.columns
-    asked = requests.select(*(F.col(k).alias(f"e{i}") for i, k in enumerate(keys)), *left_cols)
-    eks = [f"e{i}" for i in range(len(keys))]
+    asked = requests.select(*(F.col(k).alias(f"__e{i}") for i, k in enumerate(keys)), *left_cols)
+    eks = [f"__e{i}" for i in range(len(keys))]
     hot = (
         asked.groupBy(*eks).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
-        .select(*(F.col(k).alias(f"h{k}") for k in eks), F.ceil(F.col("n") / hot_rows).cast("int").alias("parts"))
+        .select(*(F.col(k).alias(f"__h{k}") for k in eks), F.ceil(F.col("n") / hot_rows).cast("int").alias("__parts"))
     )
-    on_hot = lambda d: d.join(hot, reduce(lambda a, b: a & b, (F.col(k) == F.col(f"h{k}") for k in eks)), "left").drop(*(f"h{k}" for k in eks))
+    on_hot = lambda d: d.join(hot, reduce(lambda a, b: a & b, (F.col(k) == F.col(f"__h{k}") for k in eks)), "left").drop(*(f"__h{k}" for k in eks))
     n = bucket_count(requests, versions, bytes_per_bucket=bytes_per_bucket)
     bucket = F.pmod(F.xxhash64(*eks, _SALT), F.lit(n)).cast("int").alias(_BUCKET)
-    parts = F.coalesce("parts", F.lit(1))
+    parts = F.coalesce("__parts", F.lit(1))
     asked = on_hot(asked).withColumn(_SALT, F.pmod(F.xxhash64(*left_cols), parts).cast("int")).select(bucket, *eks, *left_cols)
     history = on_hot(history).withColumn(_SALT, F.explode(F.sequence(F.lit(0), parts - 1))).select(bucket, *eks, _AVAIL, _RANK)
     out = T.StructType([*requests.schema.fields, *(T.StructField(f"v_{c}", versions.schema[c].dataType) for c in payload)])

@@ -50,6 +50,12 @@ def test_ties_nulls_empty_and_extra_columns(spark):
     assert found(spark, [], revisions) == {}
 
 
+def test_clashing_names(spark):
+    requests = spark.createDataFrame([("k", date(2020, 1, 5), "r", 1, 2)], "e string, d date, parts string, n int, e0 int")
+    versions = spark.createDataFrame([("k", date(2020, 1, 1), "v", 9)], "e string, t date, parts string, n int")
+    assert [tuple(r) for r in as_known_at(requests, versions, ["e"], "d", ["t"], ["t"], ["parts", "n"]).collect()] == [("k", date(2020, 1, 5), "r", 1, 2, "v", 9)]
+
+
 def test_hot_entity_is_salted_without_changing_the_result(spark):
     versions = spark.range(40).select(F.lit("k").alias("e"), F.expr("date_add(DATE '2020-01-01', int(id))").alias("t"), "id")
     requests = spark.range(500).select(F.lit("k").alias("e"), F.expr("date_add(DATE '2020-01-01', int(id % 60) - 5)").alias("d"), "id")
