@@ -26,6 +26,9 @@ MISS = 1e-5
 #: The same for the first batch, the number of agreeing bands. A pair of similarity 0.65 has one band or none in 1 case of 40 000.
 BAND_MISS = 1e-4
 
+#: Hashes that a Python worker holds before it hands them on, about.
+MOST_HELD = 1_000_000
+
 _WORD = re.compile("[a-z0-9]+")
 _MARKS = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]")
 
@@ -117,16 +120,16 @@ def text_sets(docs: DataFrame, key: str, columns: Sequence[str], width: int = WI
         import xxhash
 
         for b in batches:
-            ids, same, sets, sigs = [], [], [], []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = shingle_hashes(text or "", width)
-                if i is None or not len(h):
-                    continue
-                ids.append(i)
-                same.append(xxhash.xxh3_128_digest(h.tobytes()))
-                sets.append(h.view(np.int64))
-                sigs.append(signature(h))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(same, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int32()))], ["id", "same", "shingles", "sig"])
+            rows, held = [], 0
+            for i in range(b.num_rows):
+                key, h = b.column(0)[i].as_py(), shingle_hashes(b.column(1)[i].as_py() or "", width)
+                if key is not None and len(h):
+                    rows.append((key, xxhash.xxh3_128_digest(h.tobytes()), h.view(np.int64), signature(h)))
+                    held += len(h)
+                if rows and (held >= MOST_HELD or i + 1 == b.num_rows):  # bounds what a worker holds of long texts
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())))]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "same", "shingles", "sig"])
+                    rows, held = [], 0
 
     text = F.concat_ws(" ", *columns)
     return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "id long, same binary, shingles array<long>, sig array<int>")

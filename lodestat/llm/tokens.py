@@ -19,6 +19,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PIECE_CHARS = 1 << 16
 
 
+#: Ids that a Python worker holds before it hands them on, about.
+MOST_HELD = 400_000
+
+
 def default_tokenizer_dir() -> str:
     """Folder of the public vocabulary files; a parameter of every operator that reads one."""
     return os.environ.get("LODESTAT_TOKENIZERS", "/opt/tokenizers")
@@ -82,9 +86,14 @@ def encode_column(docs: DataFrame, key: str, text: str, *, folder: str | None =
         enc = encoding(where, name)
         for b in batches:
             keys, texts = b.column(0), b.column(1)
-            for lo in range(0, b.num_rows, 512):  # bounds the ids held at once
-                ids = [encode_text(enc, t) for t in texts[lo : lo + 512].to_pylist()]
-                out = pa.array([len(i) for i in ids], pa.int64()) if counts_only else pa.array(ids, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([keys[lo : lo + 512], out], [key, field.name])
+            start, held, ids = 0, 0, []
+            for i in range(b.num_rows):
+                found = encode_text(enc, texts[i].as_py())
+                ids.append(len(found) if counts_only else found)
+                held += 1 if counts_only else len(found)
+                if held >= MOST_HELD or i + 1 == b.num_rows:
+                    out = pa.array(ids, pa.int64() if counts_only else pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([keys[start : i + 1], out], [key, field.name])
+                    start, held, ids = i + 1, 0, []
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, T.StructType([T.StructField(key, kind), field]))
