@@ -200,9 +200,11 @@ def lag_histogram(spark, d):
 
 def half_trend(spark, d):
     """Mean of a source's values in the earlier and the later half of the calendar, and the drift between them."""
-    r = O.current(timed(spark, d)).select("source_code", F.col("numeric_value").try_cast("decimal(38,12)").cast("double").alias("v"), (F.col("period_start") >= F.lit(date(2017, 1, 1))).alias("later")).where("v IS NOT NULL")
-    out = r.groupBy("source_code").agg(F.avg(F.when(~F.col("later"), F.col("v"))).alias("a"), F.avg(F.when(F.col("later"), F.col("v"))).alias("b"), F.min("v").alias("least"), F.max("v").alias("greatest"))
-    return out.select("source_code", F.round("a", 4).alias("earlier"), F.round("b", 4).alias("later"), "least", "greatest")
+    r = O.current(timed(spark, d)).select("source_code", F.col("numeric_value").try_cast("decimal(30,6)").alias("v"), (F.col("period_start") >= F.lit(date(2017, 1, 1))).alias("later")).where("v IS NOT NULL")
+    mean = lambda c: F.sum(F.when(c, F.col("v"))).cast("double") / F.count_if(c)
+    early = F.when(F.count_if(~F.col("later")) > 0, mean(~F.col("later")))
+    late = F.when(F.count_if(F.col("later")) > 0, mean(F.col("later")))
+    return r.groupBy("source_code").agg(F.round(early, 4).alias("earlier"), F.round(late, 4).alias("later"), F.min("v").cast("double").alias("least"), F.max("v").cast("double").alias("greatest"))
 
 
 def trace_core(spark, d):
@@ -292,8 +294,9 @@ SQL = {
     "stale_sources": "SELECT DISTINCT source_code FROM observation_revision o WHERE source_code IS NOT NULL AND NOT EXISTS (SELECT 1 FROM observation_revision x WHERE x.source_code = o.source_code AND x.capture_date > TIMESTAMPTZ '2024-06-30 00:00:00+00')",
     "ingestion_lag": f"WITH {_R} SELECT source_code, CAST(max(CAST(capture_date AS DATE) - vintage_date) AS INTEGER) AS longest_days, count(*) FILTER (CAST(capture_date AS DATE) - vintage_date > 30) AS late FROM r WHERE capture_date IS NOT NULL AND vintage_date IS NOT NULL GROUP BY 1",
     "lag_histogram": f"WITH {_R}, x AS (SELECT status, CAST(capture_date AS DATE) - vintage_date AS days FROM r WHERE capture_date IS NOT NULL AND vintage_date IS NOT NULL) SELECT status, " + ", ".join(f"count(*) FILTER (days <= {b}) AS le_{b}" for b in (0, 1, 7, 30, 365)) + ", count(*) AS le_inf FROM x GROUP BY 1",
-    "half_trend": f"""WITH {_T}, v AS (SELECT source_code, CAST(TRY_CAST(numeric_value AS DECIMAL(38,12)) AS DOUBLE) AS v, period_start >= DATE '2017-01-01' AS later FROM c)
-        SELECT source_code, round(avg(v) FILTER (NOT later), 4) AS earlier, round(avg(v) FILTER (later), 4) AS later, min(v) AS least, max(v) AS greatest FROM v WHERE v IS NOT NULL GROUP BY 1""",
+    "half_trend": f"""WITH {_T}, v AS (SELECT source_code, TRY_CAST(numeric_value AS DECIMAL(30,6)) AS v, period_start >= DATE '2017-01-01' AS later FROM c)
+        SELECT source_code, round(CAST(sum(v) FILTER (NOT later) AS DOUBLE) / nullif(count(*) FILTER (NOT later), 0), 4) AS earlier, round(CAST(sum(v) FILTER (later) AS DOUBLE) / nullif(count(*) FILTER (later), 0), 4) AS later,
+          CAST(min(v) AS DOUBLE) AS least, CAST(max(v) AS DOUBLE) AS greatest FROM v WHERE v IS NOT NULL GROUP BY 1""",
     "trace_core": """WITH p AS (SELECT * FROM orders ORDER BY o_orderkey LIMIT 200) SELECT o_orderkey, c_name, n_name, r_name, count(*) AS lines, array_to_string(list_sort(list(DISTINCT s_name)), ',') AS suppliers, sum(CAST(l_quantity AS DECIMAL(18,2))) AS quantity
         FROM p JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
         JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3, 4""",
