@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,17 @@ def links(rows: DataFrame, node: str, parent: str) -> DataFrame:
     return nodes.join(known, nodes["ref"] == known["parent"], "left").select("id", "parent")
 
 
+def forest(trees: dict[str, DataFrame]) -> DataFrame:
+    """Several hierarchies as one, so that they are contracted in the same rounds; ids get the name in front (``part_of``)."""
+    named = [t.select(F.concat(F.lit(f"{name}:"), F.col("id")).alias("id"), F.concat(F.lit(f"{name}:"), F.col("parent")).alias("parent")) for name, t in trees.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
+def part_of(column: str) -> tuple[Column, Column]:
+    """(name of the hierarchy, id in it) of an id of a ``forest``; an empty id stays empty."""
+    return F.split_part(F.col(column), F.lit(":"), F.lit(1)), F.regexp_replace(F.col(column), "^[^:]*:", "")
+
+
 def _chosen(rnd: int) -> Column:
     """Unary nodes that are local maxima of this round's hash: no two of them are neighbours.
     A node that lost leaves in this round waits, so that its leaves find it when the round is reversed."""

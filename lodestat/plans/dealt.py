@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestat.operators.asof import known_revisions
-from lodestat.operators.hierarchy import descendants, hierarchy, links, paths
+from lodestat.operators.hierarchy import descendants, forest, hierarchy, links, part_of, paths
 from lodestat.operators.instants import normalise_source_times
 from lodestat.operators.units import convert_quantities
 from lodestat.sources.tables import materialise, table
@@ -27,26 +27,29 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return normalise_source_times(table(spark, d, "source_response"), table(spark, d, "candidate"))
 
 
+def _forest(spark: SparkSession, d: str) -> DataFrame:
+    return materialise(forest({name: links(table(spark, d, source), node, parent) for name, source, node, parent in _TREES}))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    parts = []
-    for name, source, node, parent in _TREES:
-        parts.append(hierarchy(materialise(links(table(spark, d, source), node, parent))).select(F.lit(name).alias("hierarchy"), "*"))
-    return parts[0].unionByName(parts[1])
+    name, node = part_of("node_id")
+    return hierarchy(_forest(spark, d)).select(name.alias("hierarchy"), node.alias("node_id"), part_of("root_id")[1].alias("root_id"), "depth", "descendants")
 
 
-def _paths(spark: SparkSession, d: str, source: str, node: str, parent: str) -> DataFrame:
-    tree = materialise(links(table(spark, d, source), node, parent))
-    return paths(tree, materialise(hierarchy(tree)))
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    trees = _forest(spark, d)
+    return paths(trees, materialise(hierarchy(trees)))
 
 
 def p7_paths(spark: SparkSession, d: str) -> DataFrame:
-    parts = [_paths(spark, d, source, node, parent).select(F.lit(name).alias("hierarchy"), "node_id", F.array_join("path", "/").alias("path")) for name, source, node, parent in _TREES]
-    return parts[0].unionByName(parts[1])
+    name, node = part_of("node_id")
+    steps = F.transform("path", lambda x: F.regexp_replace(x, "^[^:]*:", ""))
+    return _paths(spark, d).select(name.alias("hierarchy"), node.alias("node_id"), F.array_join(steps, "/").alias("path"))
 
 
 def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
-    parts = [descendants(_paths(spark, d, source, node, parent)).select(F.lit(name).alias("hierarchy"), "*") for name, source, node, parent in _TREES]
-    return parts[0].unionByName(parts[1])
+    name, below = part_of("descendant_id")
+    return descendants(_paths(spark, d)).select(name.alias("hierarchy"), part_of("ancestor_id")[1].alias("ancestor_id"), below.alias("descendant_id"), "distance")
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found, "p7_paths": p7_paths, "p7_descendants": p7_descendants}
@@ -81,6 +84,14 @@ _FOUND7 = """
         CAST(CASE WHEN l.id IS NOT NULL THEN -1 ELSE coalesce(d.n, 0) END AS INTEGER) AS descendants
     FROM {0}_r r LEFT JOIN {0}_loop l ON r.id = l.id LEFT JOIN {0}_d d ON r.id = d.id"""
 
+_PATHS7 = """
+    SELECT '{0}' AS hierarchy, r.id AS node_id, CASE WHEN l.id IS NOT NULL OR r.below THEN NULL ELSE coalesce(p.above || '/', '') || r.id END AS path
+    FROM {0}_r r LEFT JOIN {0}_loop l ON r.id = l.id LEFT JOIN (SELECT id, string_agg(anc, '/' ORDER BY dist DESC) AS above FROM {0}_anc GROUP BY 1) p ON r.id = p.id"""
+
+_BELOW7 = """
+    SELECT '{0}' AS hierarchy, a.anc AS ancestor_id, a.id AS descendant_id, CAST(a.dist AS INTEGER) AS distance
+    FROM {0}_anc a JOIN {0}_r r ON a.id = r.id LEFT JOIN {0}_loop l ON a.id = l.id WHERE l.id IS NULL AND NOT coalesce(r.below, false)"""
+
 SQL = {
     "p1_found": """
         SELECT request_id, observation_revision_id FROM (
@@ -91,5 +102,7 @@ SQL = {
             WHERE v.status IN ('PUBLISHED', 'SUPERSEDED') AND v.vintage_date <= r.vintage_date
               AND (v.publication_date IS NULL OR v.publication_date <= r.vintage_date))
         WHERE rn = 1""",
+    "p7_paths": "WITH RECURSIVE " + ",".join(_tree_sql(*t) for t in _TREES) + " UNION ALL ".join(_PATHS7.format(t[0]) for t in _TREES),
+    "p7_descendants": "WITH RECURSIVE " + ",".join(_tree_sql(*t) for t in _TREES) + " UNION ALL ".join(_BELOW7.format(t[0]) for t in _TREES),
     "p7_found": "WITH RECURSIVE " + ",".join(_tree_sql(*t) for t in _TREES) + " UNION ALL ".join(_FOUND7.format(t[0]) for t in _TREES),
 }
