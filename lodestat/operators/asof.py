@@ -51,7 +51,7 @@ def _bucket_join(keys: Sequence[str], as_of: str, left_cols: Sequence[str], payl
             con.execute("SET TimeZone = 'UTC'")
             con.register("requests", requests)
             con.register("versions", versions)
-            found = con.execute(sql).to_arrow_table()
+            found = con.sql(sql).to_arrow_table()
         finally:
             con.close()
         return pa.table([found.column(i).cast(schema.field(i).type) for i in range(len(schema))], schema=schema)

@@ -103,7 +103,7 @@ def visible_text(spark, d):
 
 def lexical_terms(spark, d):
     t = X.lexical_terms(F.col("assertion"))
-    return cand(spark, d).where("assertion IS NOT NULL").select("candidate_id", t.alias("t")).select("candidate_id", F.size("t").alias("n"), F.array_join("t", " ").alias("terms"))
+    return cand(spark, d).where("assertion IS NOT NULL").select("candidate_id", t.alias("t")).select("candidate_id", F.size("t").alias("n"), F.array_join(F.array_sort("t"), " ").alias("terms"))
 
 
 def lexical_grounding(spark, d):
@@ -248,6 +248,14 @@ _COMP = "lower(trim(regexp_replace({0}, '" + _WS + "', ' ', 'g')))"
 _FOLD = f"translate(regexp_replace(lower({{0}}), '[\\x{{0300}}-\\x{{036f}}]', '', 'g'), '{X.ACCENTED}', '{X.FOLDED}')"
 _STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 _TOK = f"list_filter(string_split(trim(regexp_replace({_FOLD}, '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 2 AND w NOT IN ({_STOPS}))"
+_GROUNDING_STOPS = ", ".join(f"'{w}'" for w in X.GROUNDING_STOP_WORDS)
+_COMP_KEEP = "trim(regexp_replace({0}, '" + _WS + "', ' ', 'g'))"
+_VISIBLE = "regexp_replace(text, '(?s)<!--.*?-->', ' ', 'g')"
+for _tag in ("script", "style", "template", "noscript"):
+    _VISIBLE = f"regexp_replace({_VISIBLE}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', ' ', 'g')"
+_VISIBLE = f"regexp_replace({_VISIBLE}, '(?s)<[^>]*>', ' ', 'g')"
+for _entity, _sign in (("&(?:nbsp|#160);", " "), ("&(?:quot|#34);", '"'), ("&(?:amp|#38);", "&")):
+    _VISIBLE = f"regexp_replace({_VISIBLE}, '(?i){_entity}', '{_sign}', 'g')"
 _SH = "CASE WHEN len({0}) = 0 THEN [] WHEN len({0}) <= 5 THEN [array_to_string({0}, ' ')] ELSE list_distinct(list_transform(range(1, len({0}) - 3), lambda i: array_to_string({0}[i:i+4], ' '))) END"
 _STORY = "concat_ws(' ', title, assertion, excerpt)"
 _CS = f"WITH t AS (SELECT candidate_id, event_date, {_at(_TOK, _STORY)} AS t FROM candidate), s AS (SELECT candidate_id, event_date, {_at(_SH, 't')} AS s FROM t)"
@@ -285,6 +293,12 @@ SQL = {
     "excerpt_location": f"""WITH x AS (SELECT candidate_id, {_at(_COMP, "concat_ws(' ', title, excerpt, assertion, excerpt)")} AS h, {_at(_COMP, 'excerpt')} AS n FROM candidate WHERE excerpt IS NOT NULL AND assertion IS NOT NULL)
         SELECT candidate_id, CAST(instr(h, n) - 1 AS INTEGER) AS start, CAST(instr(h, n) - 1 + length(n) AS INTEGER) AS "end", CAST(length(h) AS INTEGER) AS length, CAST((length(h) - length(replace(h, n, ''))) // length(n) AS INTEGER) AS count FROM x WHERE length(n) > 0 AND instr(h, n) > 0""",
     "injection_markers": "SELECT doc_id, concat_ws(chr(10), " + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){m}') THEN '{m}' END" for m in X.INJECTION_MARKERS) + ") AS markers FROM documents WHERE text IS NOT NULL AND markers <> ''",
+    "semantic_negation": f"""WITH x AS (SELECT candidate_id, {_at(_FOLD, 'assertion')} AS t FROM candidate WHERE assertion IS NOT NULL)
+        SELECT candidate_id, regexp_matches(t, '\\b(nunca|jamas|never|without)\\b') OR regexp_matches(regexp_replace(t, '\\bno\\s+(obstante|solo|solamente)\\b', ' ', 'g'), '\\bno\\b')
+          OR regexp_matches(regexp_replace(t, '\\bsin\\s+embargo\\b', ' ', 'g'), '\\bsin\\b') OR regexp_matches(regexp_replace(t, '\\bnot\\s+only\\b', ' ', 'g'), '\\bnot\\b') AS negated FROM x""",
+    "lexical_terms": f"""WITH x AS (SELECT candidate_id, list_distinct(list_filter(regexp_extract_all({_at(_FOLD, 'assertion')}, '\\p{{L}}[\\p{{L}}\\p{{N}}]*'), lambda w: length(w) >= 3 AND w NOT IN ({_GROUNDING_STOPS}))) AS t FROM candidate WHERE assertion IS NOT NULL)
+        SELECT candidate_id, CAST(len(t) AS INTEGER) AS n, array_to_string(list_sort(t), ' ') AS terms FROM x""",
+    "visible_markup": f"SELECT doc_id, md5({_at(_COMP_KEEP, _VISIBLE)}) AS md5 FROM documents WHERE text IS NOT NULL",
     "unsafe_url": r"""WITH x AS (SELECT candidate_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS s, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)', 1)) AS h FROM candidate)
         SELECT candidate_id, CASE WHEN url IS NULL OR s = '' OR regexp_matches(url, '\s') THEN 'INVALID' WHEN s NOT IN ('http', 'https') THEN 'PROTOCOL' WHEN h = '' OR h IN ('localhost', 'localhost.localdomain', 'metadata.google.internal', 'instance-data') THEN 'LOOPBACK'
           WHEN regexp_matches(h, '^(10|127|0)\.\d+\.\d+\.\d+$|^192\.168\.\d+\.\d+$|^169\.254\.\d+\.\d+$') THEN 'PRIVATE' WHEN NOT contains(h, '.') THEN 'UNQUALIFIED' ELSE 'SAFE' END AS reason FROM x""",
