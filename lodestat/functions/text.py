@@ -47,11 +47,35 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def comparable(text: Column) -> Column:
-    """F1 for text that is already in compatibility form: white space collapsed, lower case."""
+def _nfkc(text: str) -> str | None:
+    """The compatibility form of a text that has another one; else null."""
+    return None if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
+
+
+@F.pandas_udf(T.StringType())
+def _changed_by_nfkc(text: pd.Series) -> pd.Series:
+    return text.map(_nfkc, na_action="ignore")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfkc_each(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda xs: [x and unicodedata.normalize("NFKC", x) for x in xs], na_action="ignore")
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility form; plain ASCII is not moved to Python. Not for use inside a lambda."""
+    return F.coalesce(_changed_by_nfkc(F.when(F.octet_length(text) != F.length(text), text)), text)
+
+
+def _evened(text: Column) -> Column:
     return F.lower(collapse(text))
 
 
+def comparable(text: Column) -> Column:
+    """NFKC, white space collapsed, lower case. Not for use inside a lambda."""
+    return _evened(nfkc(text))
+
+
 @F.pandas_udf(T.StringType())
 def comparable_nfkc(text: pd.Series) -> pd.Series:
     """NFKC, white space collapsed, trimmed, lower case; null stays null."""
@@ -105,8 +129,9 @@ def excerpt_location(source: Column, excerpt: Column) -> Column:
 
 def grounded(names: Column, source: Column) -> Column:
     """the names that occur in a text between word boundaries."""
-    hay = comparable(source)
-    return F.filter(names, lambda n: F.regexp_like(hay, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), comparable(n), F.lit(r"\E(?![\p{L}\p{N}])"))))
+    bound = F.array(F.struct(comparable(source).alias("hay"), names.alias("names"), _nfkc_each(names).alias("forms")))  # no UDF may stand in a lambda
+    occurs = lambda s, i: F.regexp_like(s["hay"], F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), _evened(F.get(s["forms"], i)), F.lit(r"\E(?![\p{L}\p{N}])")))
+    return F.get(F.transform(bound, lambda s: F.filter(s["names"], lambda _, i: occurs(s, i))), F.lit(0))
 
 
 def injection_markers(text: Column) -> Column:

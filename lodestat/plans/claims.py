@@ -151,8 +151,8 @@ def conflicting_claims(spark, d):
 
 def corroboration_summary(spark, d):
     key = [F.col("claim_type"), X.comparable(F.col("assertion")).alias("assertion_key")]
-    rows = cand(spark, d).where("assertion IS NOT NULL AND claim_type IS NOT NULL").select("candidate_id", *key, "publisher", "response_id", "excerpt")
-    out = C.corroboration(rows, ["claim_type", "assertion_key"], X.comparable(F.col("publisher")), F.col("response_id") % 2 == 0, F.md5(F.coalesce("excerpt", F.lit(""))))
+    rows = cand(spark, d).where("assertion IS NOT NULL AND claim_type IS NOT NULL").select("candidate_id", *key, X.comparable(F.col("publisher")).alias("publisher"), "response_id", "excerpt")
+    out = C.corroboration(rows, ["claim_type", "assertion_key"], F.col("publisher"), F.col("response_id") % 2 == 0, F.md5(F.coalesce("excerpt", F.lit(""))))
     return out.select("claim_type", F.md5("assertion_key").alias("assertion_md5"), "sources", "publishers", "verified_publishers", "unverified_sources", "contents", "independent")
 
 

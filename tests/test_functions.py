@@ -29,6 +29,12 @@ def test_jaccard_and_location(spark):
     assert (got[0]["start"], got[0]["end"], got[0]["count"]) == (0, 16, 2) and got[1] is None and got[2] is None
 
 
+def test_comparable_form_is_a_compatibility_form(spark):
+    rows = [("Nº 5 ½", ""), (" ﬁn　 DE\u00a0", ""), ("plain  A", ""), ("e\u0301", ""), (None, "")]
+    assert values(spark, X.comparable(F.col("x")), rows) == ["no 5 1⁄2", "fin de", "plain a", "é", None]
+    assert values(spark, X.grounded(F.array(F.col("x"), F.lit(None)), F.col("y")), [("ﬁn", "el FIN"), ("fin", "el ﬁn."), ("fin", "el ﬁné")]) == [["ﬁn"], ["fin"], []]
+
+
 def test_grounded_words_need_boundaries(spark):
     got = values(spark, X.grounded(F.array(F.col("x")), F.col("y")), [("INE", "se define así"), ("INE", "el INE (2024)"), ("a+b", "es a+b aquí")])
     assert [len(g) for g in got] == [0, 1, 1]
