@@ -59,10 +59,22 @@ def stuck(events: DataFrame, minutes: int = 60, late: str = "10 minutes") -> Dat
     return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, last_us long, n long", "last long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def write_batches(stream: DataFrame, target: str, checkpoint: str):
-    """Append each micro-batch to a folder of its own, so that a replayed batch overwrites itself."""
+def span(events: DataFrame) -> str:
+    """A watermark delay under which no event of a bounded replay is late, in whatever order its files are read."""
+    low, high = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    return f"{((high or 0) - (low or 0)) // 1_000_000 + 2} seconds"
+
+
+def last_states(batches: DataFrame, key: list[str]) -> DataFrame:
+    """The last row of each key over the folders of ``write_batches`` in update mode."""
+    rest = [c for c in batches.columns if c not in (*key, "batch")]
+    return batches.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("v")).select(*key, *(F.col(f"v.{c}").alias(c) for c in rest))
+
+
+def write_batches(stream: DataFrame, target: str, checkpoint: str, mode: str = "append"):
+    """Write each micro-batch to a folder of its own, so that a replayed batch overwrites itself."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

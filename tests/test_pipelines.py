@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestat.operators.registration import register, replay, submit_claims
+from lodestat.plans import events as E
 from lodestat.sources import sinks as S
 from lodestat.sources.tables import materialise, release
 from lodestat.streaming import pipelines as P
@@ -81,3 +82,13 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([(99, datetime(2024, 1, 3), 7, "a", 1.0, "{}")], schema).coalesce(1).write.mode("append").parquet(data)
     P.write_batches(silent, str(tmp_path / "stuck"), str(tmp_path / "c2")).awaitTermination()
     assert {r["user_id"] for r in spark.read.parquet(str(tmp_path / "stuck")).collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_stream_windows_equal_the_batch(spark, tmp_path, files):
+    rows = [(i, i % 4, "ab"[i % 2], i / 8, datetime(2024, 1, 1 + i % 5, i % 24, 30)) for i in range(120)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp_ntz")
+    for k in range(files):
+        df.where(F.col("event_id") % files == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got, want = (sorted(map(tuple, q(spark, str(tmp_path)).collect())) for q in (E.stream_windows, E.event_windows))
+    assert got == want and sum(r[2] for r in got) == 120
