@@ -137,26 +137,24 @@ def paths(tree: DataFrame, nodes: DataFrame) -> DataFrame:
     """Path from the root (``path``, an array that ends in the node) of each node in a tree.
 
     Paths double in length each round, so depth d takes log2(d) joins. Nodes on or
-    below a loop have a null path. ``nodes`` is the result of ``hierarchy``.
+    below a loop have a null path; those below one have ``below``, the path from the
+    first node under the loop. ``nodes`` is the result of ``hierarchy``.
     """
-    inside = nodes.where("depth >= 0").select(F.col("node_id").alias("id"), "depth")
-    state = materialise(
-        tree.join(inside, "id").select("id", "depth", F.col("parent").alias("up"), F.array("id").alias("path"))
-    )
-    top = state.agg(F.max("depth")).first()[0] or 0
-    reach = 1
-    while reach <= top:
+    inside = nodes.where("depth <> -1").select(F.col("node_id").alias("id"))
+    state = materialise(tree.join(inside, "id").select("id", F.col("parent").alias("up"), F.array("id").alias("path")))
+    while not state.where("up IS NOT NULL").isEmpty():  # a parent on a loop is not in ``state``: the path ends below it
         above = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("path").alias("above"))
         before, state = state, materialise(
-            state.join(above, "up", "left").select("id", "depth", F.col("up2").alias("up"), F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path")).alias("path"))
+            state.join(above, "up", "left").select("id", F.col("up2").alias("up"), F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path")).alias("path"))
         )
         release(before)
-        reach *= 2
-    return nodes.join(state.select(F.col("id").alias("node_id"), "path"), "node_id", "left")
+    found = nodes.join(state.select(F.col("id").alias("node_id"), F.col("path").alias("line")), "node_id", "left")
+    return found.select(*nodes.columns, F.when(F.col("depth") >= 0, F.col("line")).alias("path"), F.when(F.col("depth") < 0, F.col("line")).alias("below"))
 
 
 def descendants(node_paths: DataFrame) -> DataFrame:
-    """All (ancestor, descendant, distance) rows of the trees, from ``paths``."""
-    return node_paths.where("depth > 0").select(
-        F.col("node_id").alias("descendant_id"), F.posexplode(F.slice("path", F.lit(1), F.col("depth"))).alias("pos", "ancestor_id"), "depth"
-    ).select("ancestor_id", "descendant_id", (F.col("depth") - F.col("pos")).cast("int").alias("distance"))
+    """All (ancestor, descendant, distance) rows of the trees and of the subtrees below loops, from ``paths``."""
+    lines = node_paths.select(F.col("node_id").alias("descendant_id"), F.coalesce("path", "below").alias("line")).where(F.size("line") > 1)
+    return lines.select("descendant_id", (F.size("line") - 1).alias("up"), F.posexplode(F.slice("line", F.lit(1), F.size("line") - 1)).alias("pos", "ancestor_id")).select(
+        "ancestor_id", "descendant_id", (F.col("up") - F.col("pos")).cast("int").alias("distance")
+    )

@@ -64,3 +64,13 @@ def test_paths_and_descendants(spark):
     p = paths(t, hierarchy(t))
     assert {r["node_id"]: r["path"] for r in p.collect()} == {"r": ["r"], "a": ["r", "a"], "b": ["r", "a", "b"], "x": None, "y": None}
     assert {tuple(r) for r in descendants(p).collect()} == {("r", "a", 1), ("r", "b", 2), ("a", "b", 1)}
+
+
+def test_descendants_below_loops(spark):
+    t = tree(spark, [("x", "y"), ("y", "x"), ("a", "x"), ("b", "a"), ("c", "b"), ("d", "a"), ("me", "me"), ("kid", "me"), ("r", None), ("s", "r")])
+    nodes = materialise(hierarchy(t))
+    p = paths(t, nodes)
+    assert {r["node_id"] for r in p.where("path IS NOT NULL").collect()} == {"r", "s"}
+    rows = {tuple(r) for r in descendants(p).collect()}
+    assert rows == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("a", "d", 1), ("r", "s", 1)}
+    assert all(sum(a == r["node_id"] for a, _, _ in rows) == r["descendants"] for r in nodes.where("depth <> -1").collect())
