@@ -135,6 +135,7 @@ class Cipher:
     table: dict[int, str]
     model: dict[tuple[str, str], float]
     floor: float
+    others: tuple[tuple[str, dict[int, str]], ...] = ()
 
     def score(self, text: str) -> float:
         """Log-likelihood of the bigrams around characters outside ASCII."""
@@ -145,15 +146,25 @@ class Cipher:
             total += model.get((fold(text[i - 1]) if i else " ", c), floor) + model.get((c, fold(text[i + 1]) if i + 1 < len(text) else " "), floor)
         return total
 
+    def gain(self, text: str, data: bytes, page: str, table: dict[int, str]) -> tuple[float, str]:
+        """What reading a row as ``page`` gains, and the text; no gain if its bytes don't make the same round trip."""
+        found = text.translate(table)
+        same = found == text or _decode(data, page) != found
+        return (0.0, text) if same else (self.score(found) - self.score(text), found)
+
     def restore(self, text: str) -> str | None:
-        """The text behind the cipher, if reading it so is likelier and its bytes make the same round trip."""
+        """The text behind the cipher, if reading it so is likelier and its bytes make the same round trip.
+
+        The page of the whole corpus comes first; a row is of another page only if that gains clearly more.
+        """
         data = None if text.isascii() else to_bytes(text)
         if data is None:
             return None
-        found = text.translate(self.table)
-        if found == text or self.score(found) - self.score(text) < GAIN:
-            return None
-        return found if _decode(data, self.page) == found else None
+        first, found = self.gain(text, data, self.page, self.table)
+        other = max((self.gain(text, data, p, t) for p, t in self.others), default=(0.0, text))
+        if other[0] >= max(2 * GAIN, first + GAIN):
+            return other[1]
+        return found if first >= GAIN else None
 
 
 def fold(c: str) -> str:
@@ -297,7 +308,8 @@ def learn_cipher(staged: DataFrame) -> Cipher | None:
 
     The counts cover all texts; what comes to the driver is a table whose size the
     alphabet bounds. A source has too few damaged rows to learn a mapping of its
-    own, so the contexts of all sources are pooled.
+    own, so the contexts of all sources are pooled; the page that agrees best is the
+    one expected of a row, the others need a clear gain (``Cipher.restore``).
     """
     counts = staged.where("n IS NOT NULL").groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
     bigrams = Counter({(r["a"], r["b"]): r["n"] for r in counts if r["kind"] == "bigram"})
@@ -317,7 +329,7 @@ def learn_cipher(staged: DataFrame) -> Cipher | None:
         return sum(n * np.log(theta[s].get(table.get(ord(s), "").lower(), 1e-6) + 1e-6) for (_, s, _), n in pooled.items())
 
     best = max(PAGES, key=agreement)
-    return Cipher(best, page_table(best), model, floor)
+    return Cipher(best, page_table(best), model, floor, tuple((p, page_table(p)) for p in PAGES if p != best))
 
 
 def finish(kind: str, text: str, cipher: Cipher | None) -> tuple[str, str] | None:

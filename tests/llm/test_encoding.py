@@ -53,6 +53,15 @@ def test_cipher_is_learned_from_the_corpus(spark):
     assert got == {1000 + i: hashlib.md5(clean[i].encode()).hexdigest() for i in range(8)}
 
 
+def test_two_pages_in_one_corpus(spark):
+    words = "la inflación subió según el boletín más café año señaló después José índice público región también economía número país fútbol niño mañana aquí acción".split()
+    clean = [" ".join(words[(i * 7 + j * 3) % len(words)] for j in range(25)) for i in range(120)]
+    bad = [(1000 + i, f"s{i >= 8}", read_as(clean[i], "cp850" if i < 8 else "mac_roman", "cp1252")) for i in range(11)]
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(clean)] + bad, "response_id long, source_code string, text string")
+    got = {r["response_id"]: r["restored"] for r in restore_texts(df).collect()}
+    assert got == {1000 + i: clean[i] for i in range(11)}
+
+
 def test_empty_table_and_tables(spark):
     df = spark.createDataFrame([], "response_id long, source_code string, text string")
     assert restore_texts(df).count() == 0
