@@ -17,48 +17,96 @@ from lodestat.sources.tables import materialise
 #: Words in a shingle.
 WIDTH = 5
 #: MinHash signature: bands of rows; a pair of similarity s is missed by all bands with (1 - s**ROWS)**BANDS.
-ROWS, BANDS = 3, 42
+ROWS, BANDS = 3, 38
 #: Signature positions compared at a time by the sequential test.
-BATCH = 18
+BATCH = 19
 #: Probability of pruning a pair whose similarity reaches the threshold.
 MISS = 1e-5
 
-#: The same for the first batch, the number of agreeing bands. A pair of similarity 0.65 has one band or none in 1 case of 40 000.
-BAND_MISS = 1e-4
+#: The same for the first batch, the number of agreeing bands. A pair of similarity 0.65 has one band or none in 1 case of 14 000.
+BAND_MISS = 2e-4
 
-#: Hashes that a Python worker holds before it hands them on, about.
-MOST_HELD = 1_000_000
+#: Characters and hashes that a Python worker works on at a time, about; a longer text is worked on alone.
+MOST_CHARS, MOST_HASHES = 2_000_000, 250_000
 
 _WORD = re.compile("[a-z0-9]+")
 _MARKS = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]")
 
 
-def words(text: str) -> list[str]:
-    """Lower-case, decompose, drop combining marks; the runs of a-z and 0-9."""
-    return _WORD.findall(_MARKS.sub("", unicodedata.normalize("NFD", text.lower())))
+class _WordHashes(dict):
+    """64-bit hashes of words, computed once each; bounded."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
 
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
 
-def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``width``-word sequences of a whole text; none if it has fewer words."""
-    import xxhash
 
-    w = words(text)
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(" ".join(w[i : i + width])) for i in range(len(w) - width + 1)), dtype=np.uint64))
+_HASHES = _WordHashes()
+
+
+def words(text: str) -> list[str]:
+    """Lower-case, decompose, drop combining marks; the runs of a-z and 0-9."""
+    text = text.lower()
+    return _WORD.findall(text if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", text)))
 
 
 @lru_cache(maxsize=4)
-def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _odd(n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20240229)
-    return rng.integers(1, 2**63, n, dtype=np.uint64) * 2 + 1, rng.integers(0, 2**63, n, dtype=np.uint64)
+    kind = np.uint64 if bits == 64 else np.uint32
+    return rng.integers(1, 2 ** (bits - 1), n, dtype=kind) * kind(2) + kind(1), rng.integers(0, 2 ** (bits - 1), n, dtype=kind)
+
+
+def shingle_sets(texts: Sequence[str], width: int = WIDTH) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the ``width``-word sequences of each whole text; none of one with fewer words."""
+    flat: list[str] = []
+    ends = []
+    for text in texts:
+        flat += words(text)
+        ends.append(len(flat))
+    lens = np.diff(np.array([0, *ends]))
+    n = len(flat) - width + 1
+    if n <= 0:
+        return [np.zeros(0, dtype=np.uint64)] * len(texts)
+    w = np.fromiter(map(_HASHES.__getitem__, flat), np.uint64, len(flat))
+    h = np.zeros(n, dtype=np.uint64)
+    for i, odd in enumerate(_odd(width, 64)[0]):
+        h += w[i : n + i] * odd
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    owner = np.repeat(np.arange(len(texts)), lens)
+    inside = owner[:n] == owner[width - 1 :]
+    h, owner = h[inside], owner[:n][inside]
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h, owner = h[new], owner[new]
+    return np.split(h, np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1])
+
+
+def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
+    """``shingle_sets`` of one text."""
+    return shingle_sets([text], width)[0]
 
 
-def signature(hashes: np.ndarray, n: int = ROWS * BANDS) -> np.ndarray:
-    """MinHash signature of a set: the least value of each of ``n`` hash functions, in 32 bits."""
-    a, b = _multipliers(n)
-    least = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for lo in range(0, len(hashes), 4096):  # bounds the memory of a very long text
-        least = np.minimum(least, (hashes[lo : lo + 4096, None] * a + b).min(axis=0))
-    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
+def signatures(sets: Sequence[np.ndarray], n: int = ROWS * BANDS) -> np.ndarray:
+    """MinHash signatures of non-empty sets: of each of ``n`` hash functions 16 bits of the element with the least value."""
+    a, b = _odd(n, 32)
+    starts = np.cumsum([0, *map(len, sets[:-1])])
+    x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(sets), n), dtype=np.uint32)
+    value = np.empty_like(x)
+    for j in range(n):
+        np.multiply(x, a[j], out=value)
+        value += b[j]
+        out[:, j] = np.minimum.reduceat(value, starts)
+    return ((out * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
 
 
 @lru_cache(maxsize=16)
@@ -109,80 +157,123 @@ def survives(a: np.ndarray, b: np.ndarray, bounds: Sequence[tuple[int, int]]) ->
     return out
 
 
-def text_sets(docs: DataFrame, key: str, columns: Sequence[str], width: int = WIDTH) -> DataFrame:
-    """(``id``, ``same``, ``shingles``, ``sig``) of each row with at least one shingle.
+def _portions(texts: Sequence[str], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts with about ``most`` characters each."""
+    lo = held = 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= most or i + 1 == len(texts):
+            yield lo, i + 1
+            lo, held = i + 1, 0
+
+
+def text_signatures(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(``id``, ``text_hash``, ``same``, ``sig``) of each row of (``id``, ``text_hash``, ``text``) with at least one shingle.
 
-    The text is the non-null ones of ``columns``, joined with a blank. ``same`` is
-    equal for rows with equal shingle sets.
+    ``same`` is equal for rows with equal shingle sets; ``sig`` is the packed signature.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in batches:
-            rows, held = [], 0
-            for i in range(b.num_rows):
-                key, h = b.column(0)[i].as_py(), shingle_hashes(b.column(1)[i].as_py() or "", width)
-                if key is not None and len(h):
-                    rows.append((key, xxhash.xxh3_128_digest(h.tobytes()), h.view(np.int64), signature(h)))
-                    held += len(h)
-                if rows and (held >= MOST_HELD or i + 1 == b.num_rows):  # bounds what a worker holds of long texts
-                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())))]
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "same", "shingles", "sig"])
-                    rows, held = [], 0
+        for batch in batches:
+            ids, marks, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for lo, hi in _portions(texts, MOST_CHARS):
+                found = [(i, t, s) for i, t, s in zip(ids[lo:hi], marks[lo:hi], shingle_sets(texts[lo:hi], width)) if len(s)]
+                for at, to in _portions([s for _, _, s in found], MOST_HASHES):
+                    part = found[at:to]
+                    sig = signatures([s for _, _, s in part]).tobytes()
+                    step = len(sig) // len(part)
+                    columns = ([i for i, _, _ in part], [t for _, t, _ in part], [xxhash.xxh3_128_digest(s.tobytes()) for _, _, s in part], [sig[k : k + step] for k in range(0, len(sig), step)])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["id", "text_hash", "same", "sig"])
 
-    text = F.concat_ws(" ", *columns)
-    return docs.select(F.col(key).cast("long"), text).mapInArrow(run, "id long, same binary, shingles array<long>, sig array<int>")
+    return texts.select("id", "text_hash", "text").mapInArrow(run, "id long, text_hash long, same binary, sig binary")
 
 
-def representatives(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One row of each class of equal sets, and the membership (``id``, ``rep``)."""
-    classes = sets.groupBy("same").agg(F.min("id").alias("rep"))
-    members = sets.select("id", "same").join(classes, "same").select("id", "rep").distinct()
-    reps = sets.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).drop("same")
-    return reps, members
+def banded(reps: DataFrame) -> DataFrame:
+    """(``id``, ``band``): a key for each band of the packed signatures."""
+    width = 2 * ROWS
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring(F.col("sig"), i * width + 1, F.lit(width)), i))
+    return reps.select("id", F.explode(keys).alias("band"))
 
 
-def similar_pairs(reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (``a`` < ``b``) of sets with a Jaccard similarity of at least ``threshold``, with ``similarity``.
+def candidate_pairs(reps: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (``a`` < ``b``) of ids of (``id``, ``sig``) that pass the sequential test.
 
     Sets that agree in any band are candidates. The join on the band key lets AQE
     split hot bands; no pair is dropped by a cap. The sequential test prunes
     candidates, first by the number of agreeing bands, then by batches of their
-    signatures; the survivors are verified on the sets.
+    signatures.
     """
     n = ROWS * BANDS
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.slice("sig", i * ROWS + 1, ROWS), i))
-    banded = reps.select("id", F.explode(band).alias("band"))
-    left, right = banded.select(F.col("id").alias("a"), "band"), banded.select(F.col("id").alias("b"), "band")
+    left, right = (banded(reps).select(F.col("id").alias(x), "band") for x in "ab")
     agreeing = left.join(right, "band").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("bands"))
     candidates = agreeing.where(F.col("bands") >= least_bands(threshold)).select("a", "b")
     bounds = keep_bounds(threshold, n)
 
+    def unpacked(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(column.buffers()[2], np.uint16, len(column) * n, 2 * n * column.offset).reshape(-1, n)
+
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                sa, sb = (b.column(i).flatten().to_numpy().reshape(-1, n) for i in (2, 3))
-                yield b.filter(pa.array(survives(sa, sb, bounds))).select(["a", "b"])
+                yield b.filter(pa.array(survives(unpacked(b.column(2)), unpacked(b.column(3)), bounds))).select(["a", "b"])
+
+    sig_a, sig_b = (reps.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    return candidates.join(sig_a, "a").join(sig_b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(prune, "a long, b long")
 
-    sig = reps.select("id", "sig")
-    both = candidates.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
-    kept = both.select("a", "b", "sig_a", "sig_b").mapInArrow(prune, "a long, b long")
-    sets = reps.select("id", "shingles")
-    full = kept.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return full.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
+
+def verified_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, width: int = WIDTH) -> DataFrame:
+    """The pairs whose whole texts have a Jaccard similarity of at least ``threshold``, with ``similarity``.
+
+    Only the texts of surviving pairs are moved; their sets are computed again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for lo, hi in _portions([s + t for s, t in zip(x, y)], MOST_CHARS):
+                text = dict(zip(a[lo:hi], x[lo:hi])) | dict(zip(b[lo:hi], y[lo:hi]))
+                sets = dict(zip(text, shingle_sets(list(text.values()), width)))
+                found = []
+                for i, j in zip(a[lo:hi], b[lo:hi]):
+                    p, q = sets[i], sets[j]
+                    common = len(p) + len(q) - _joint(p, q)
+                    if common >= threshold * (len(p) + len(q) - common):
+                        found.append((i, j, common / (len(p) + len(q) - common)))
+                columns = zip(*found) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    few = texts.join(wanted, "id", "left_semi").groupBy("id").agg(F.max(F.struct("text_hash", "text"))["text"].alias("text"))
+    x, y = few.select(F.col("id").alias("a"), F.col("text").alias("text_a")), few.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+
+
+def _joint(p: np.ndarray, q: np.ndarray) -> int:
+    """Size of the union of two sorted sets."""
+    both = np.concatenate([p, q])
+    both.sort(kind="stable")
+    return len(both) - int((both[1:] == both[:-1]).sum())
 
 
 def near_duplicates(docs: DataFrame, key: str, columns: Sequence[str], threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Membership in classes of equal texts, and the similar pairs of class representatives.
+    """Membership (``id``, ``rep``) in classes of equal texts, and the similar pairs (``a``, ``b``, ``similarity``) of representatives.
 
-    Rows with a null key or fewer words than a shingle has are in no class.
-    Repeated ids count once. Empty tables give empty results.
+    The text is the non-null ones of ``columns``, joined with a blank. Rows with a
+    null key or fewer words than a shingle has are in no class. Of a repeated id
+    the text with the greatest hash counts. Empty tables give empty results. Only ids, set hashes
+    and packed signatures of all rows are written; texts are moved for pairs that
+    survive the sequential test.
     """
-    sets = materialise(text_sets(docs, key, columns))
-    reps, members = representatives(sets)
-    return members, similar_pairs(materialise(reps), threshold)
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.concat_ws(" ", *columns).alias("text")).where("id IS NOT NULL").select("id", F.xxhash64("text").alias("text_hash"), "text")
+    sets = materialise(text_signatures(texts))
+    one = sets.groupBy("id").agg(F.max(F.struct("text_hash", "same"))["same"].alias("same"))
+    members = materialise(one.join(one.groupBy("same").agg(F.min("id").alias("rep")), "same").select("id", "rep"))
+    reps = sets.groupBy("id").agg(F.max(F.struct("text_hash", "sig"))["sig"].alias("sig")).join(members.where("id = rep").select("id"), "id", "left_semi")
+    pairs = materialise(candidate_pairs(reps, threshold))
+    return members, verified_pairs(pairs, texts, threshold)
 
 
 def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
