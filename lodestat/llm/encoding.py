@@ -1,19 +1,22 @@
 """Text decoded with a wrong encoding: find it and restore it.
 
-Unknown code-page swaps are treated as substitution ciphers: the letter behind
-each foreign symbol is learned by expectation-maximisation against the corpus's
-character bigrams, the learned mapping is matched with the code pages, and the
-mapping is applied with ``str.translate``. Swaps in which one character became
-several, or several one (UTF-8 and UTF-16 read as something else), are no
+Unknown code-page swaps are treated as substitution ciphers by source: the letter
+behind each foreign symbol is learned by expectation-maximisation against the
+corpus's character bigrams, with the mapping of all sources as prior. The learned
+mapping ranks the pairs of code pages that can explain it and completes them where
+none can; tables are applied with ``str.translate``. Swaps in which one character
+became several, or several one (UTF-8 and UTF-16 read as something else), are no
 substitution of single characters; they are undone on the bytes.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lodestat.sources.tables import materialise
 
-#: Single-byte code pages whose swap with windows-1252 is considered (Python codec names).
+#: Single-byte code pages that may have written or read a text (Python codec names).
 PAGES = ("cp850", "cp437", "mac_roman", "iso8859_15", "cp1250", "cp1251", "cp1254", "iso8859_2", "cp852", "cp860")
 #: Letters that Spanish, Portuguese and English write outside ASCII.
 LETTERS = "áéíóúñüàâãçêôõÁÉÍÓÚÑÜÀÂÃÇÊÔÕ"
@@ -30,6 +33,12 @@ LETTERS = "áéíóúñüàâãçêôõÁÉÍÓÚÑÜÀÂÃÇÊÔÕ"
 EM_ROUNDS = 25
 #: Least gain in log-likelihood of a row that counts as restored by a cipher.
 GAIN = 3.0
+#: Rows that the mapping of all sources counts for in that of one source, by symbol.
+PRIOR_ROWS = 4.0
+#: Least posterior and occurrences of a learned letter that is applied where no pair of code pages explains a text.
+SURE, SEEN = 0.75, 5
+#: Shares of what follows a word's end and of what follows a question mark: a capital or the end, a small letter, a sign.
+AFTER_WORD, AFTER_QUESTION = (0.1, 0.85, 0.05), (0.9, 0.08, 0.02)
 
 _C1 = "".join(map(chr, range(0x80, 0xA0)))
 _HIGH = "\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
@@ -38,9 +47,7 @@ _ODD = re.compile(rf"[^ -~\n\r\t{LETTERS}¿¡“”‘’–—…ºª°«»€
 _FOREIGN = re.compile("[^\x00-~]")
 _URL_QUERY = re.compile(r"\S*\?\w+=\S*")
 _LOST = re.compile(r"[^\W\d_]\?[^\W\d_]|(?:^|[\s(\"“«/-])\?[^\W\d_]|\?\?")
-_BEFORE_MARK = re.compile(r"([^.!?\n]*[^\W\d_])\?")
-#: Words that open a question in a language without an opening question mark.
-_ASKS = re.compile(r"\s*[\"“(-]*(?:what|who|whose|when|where|why|how|which|is|are|was|were|do|does|did|can|could|will|would|should|has|have|que|quem|qual|quais|quando|onde|como|por|quanto|quantos|o que)\b", re.I)
+_AT_END = re.compile(r"([^\W\d_])\?(?![^\W\d_?])")
 
 
 def to_bytes(text: str, page: str = "cp1252") -> bytes | None:
@@ -80,10 +87,7 @@ def undo_utf8(text: str) -> str:
     def one(m: re.Match) -> str:
         return _decode(to_bytes(m.group()), "utf-8") or m.group()
 
-    for _ in range(4):
-        fixed = _SEQ.sub(one, text)
-        if fixed == text:
-            break
+    while (fixed := _SEQ.sub(one, text)) != text:  # each round makes the text shorter
         text = fixed
     return text
 
@@ -116,54 +120,138 @@ def undo_wide(text: str) -> str | None:
 
 
 def lost(text: str) -> bool:
-    """Whether characters were replaced by U+FFFD or by question marks."""
-    if "�" in text:
-        return True
-    if "?" not in text:
-        return False
+    """Whether characters were surely replaced, by U+FFFD or by question marks inside or before words."""
+    return "\ufffd" in text or "?" in text and _LOST.search(_URL_QUERY.sub(" ", text)) is not None
+
+
+def doubtful_marks(text: str) -> list[tuple[str, int]]:
+    """(letter before, class of what follows) of question marks at the end of a word, where none opens a question.
+
+    They are question marks, or letters that were lost: ``Reader.took_letters`` judges.
+    """
+    if "?" not in text or "¿" in text:
+        return []
     rest = _URL_QUERY.sub(" ", text)
-    if _LOST.search(rest):
-        return True
-    return "¿" not in rest and any(not _ASKS.match(m[1]) for m in _BEFORE_MARK.finditer(rest))
+    out = []
+    for m in _AT_END.finditer(rest):
+        after = rest[m.end() :].lstrip("\"'”’»)")[:60].lstrip()[:1]
+        near = rest[m.end() : m.end() + 1]
+        out.append((m[1].lower(), 2 if near and near in ",;:./-" else 1 if after.islower() else 0))
+    return out
 
 
 @dataclass(frozen=True)
-class Cipher:
-    """A learned swap: the code page that wrote what windows-1252 read, and the bigram model that judges it."""
+class Model:
+    """Character bigrams of the sound texts, and how often letters were lost and questions asked."""
 
-    page: str
-    table: dict[int, str]
-    model: dict[tuple[str, str], float]
+    pairs: dict[tuple[str, str], float]
     floor: float
-    others: tuple[tuple[str, dict[int, str]], ...] = ()
+    ends: dict[str, float] = field(default_factory=dict)
+    accented: dict[str, float] = field(default_factory=dict)
+    lost_rate: float = 0.01
+    ask_rate: float = 0.1
 
     def score(self, text: str) -> float:
         """Log-likelihood of the bigrams around characters outside ASCII."""
-        model, floor = self.model, self.floor
+        pairs, floor = self.pairs, self.floor
         total = 0.0
         for m in _FOREIGN.finditer(text):
             i, c = m.start(), fold(m.group())
-            total += model.get((fold(text[i - 1]) if i else " ", c), floor) + model.get((c, fold(text[i + 1]) if i + 1 < len(text) else " "), floor)
+            total += pairs.get((fold(text[i - 1]) if i else " ", c), floor) + pairs.get((c, fold(text[i + 1]) if i + 1 < len(text) else " "), floor)
         return total
 
-    def gain(self, text: str, data: bytes, page: str, table: dict[int, str]) -> tuple[float, str]:
-        """What reading a row as ``page`` gains, and the text; no gain if its bytes don't make the same round trip."""
-        found = text.translate(table)
-        same = found == text or _decode(data, page) != found
-        return (0.0, text) if same else (self.score(found) - self.score(text), found)
+    def took_letters(self, marks: list[tuple[str, int]]) -> bool:
+        """Whether any question mark at a word's end more likely stands for a lost letter than for a question."""
+        return any(self.lost_rate * self.accented.get(a, 0.0) * AFTER_WORD[c] > self.ask_rate * self.ends.get(a, 0.0) * AFTER_QUESTION[c] for a, c in marks)
+
+
+def bigram_model(bigrams: Counter, lost_marks: int = 0, asked: int = 0) -> Model:
+    """The model from counts of character pairs, of lost letters inside words and of questions without an opening mark."""
+    left: Counter = Counter()
+    for (a, _), n in bigrams.items():
+        left[a] += n
+    size = max(1, len({b for _, b in bigrams}))
+    pairs = {(a, b): float(np.log((n + 0.1) / (left[a] + 0.1 * size))) for (a, b), n in bigrams.items()}
+    floor = float(np.log(0.1 / (0.1 * size + max(left.values(), default=1) / max(1, len(left)))))
+    closing: Counter = Counter()
+    for (a, b), n in bigrams.items():
+        if not b.isalnum() and b != "?":
+            closing[a] += n
+    ends = {a: closing[a] / left[a] for a in left if a.isalpha()}
+    accented: Counter = Counter()
+    letters = 0
+    for (a, b), n in bigrams.items():
+        if b in LETTERS:
+            letters += n
+            if a.isalpha():
+                accented[a] += n * closing[b] / max(1, left[b]) / left[a]
+    words = sum(closing[a] for a in ends)
+    return Model(pairs, floor, ends, dict(accented), (lost_marks + 1) / (letters + lost_marks + 100), (asked + 1) / (words + 1))
+
+
+@lru_cache(maxsize=256)
+def pair_table(read: str, wrote: str) -> dict[int, str]:
+    """Mapping from what the page ``read`` reads to what ``wrote`` wrote, for the upper half of the bytes."""
+    table = {}
+    for b in range(0x80, 0x100):
+        seen = _decode(bytes([b]), read) or (chr(b) if read == "cp1252" else None)
+        meant = _decode(bytes([b]), wrote)
+        if seen is not None and meant is not None:
+            table[ord(seen)] = meant
+    return table
+
+
+def page_table(page: str) -> dict[int, str]:
+    """Mapping from what windows-1252 reads to what ``page`` wrote."""
+    return pair_table("cp1252", page)
+
+
+#: Pairs (reader, writer) of code pages; reading by windows-1252 comes first.
+PAIRS = tuple((r, w) for r in ("cp1252", *PAGES) for w in (*PAGES, "cp1252") if r != w)
+#: What any page reads in the upper half of the bytes; other symbols are no cipher of single bytes.
+SYMBOLS = frozenset(chr(s) for r in ("cp1252", *PAGES) for s in pair_table(r, "latin-1"))
+
+
+@dataclass(frozen=True)
+class Cipher:
+    """What was learned for a source: pairs of code pages, the likeliest first, and a mapping of its own."""
+
+    pairs: tuple[tuple[str, str], ...]
+    learned: dict[int, str] = field(default_factory=dict)
+
+    def to_json(self) -> str:
+        return json.dumps([self.pairs, [[chr(k), v] for k, v in self.learned.items()]])
 
-    def restore(self, text: str) -> str | None:
+    @staticmethod
+    @lru_cache(maxsize=4096)
+    def from_json(text: str) -> Cipher:
+        pairs, learned = json.loads(text)
+        return Cipher(tuple((r, w) for r, w in pairs), {ord(k): v for k, v in learned})
+
+    def gain(self, model: Model, text: str, read: str, wrote: str) -> tuple[float, str]:
+        """What reading a row so gains, and the text; no gain if its bytes don't make the same round trip."""
+        found = text.translate(pair_table(read, wrote))
+        if found == text or _decode(to_bytes(text, read), wrote) != found:
+            return 0.0, text
+        return model.score(found) - model.score(text), found
+
+    def restore(self, model: Model, text: str) -> str | None:
         """The text behind the cipher, if reading it so is likelier and its bytes make the same round trip.
 
-        The page of the whole corpus comes first; a row is of another page only if that gains clearly more.
+        The source's likeliest pair comes first; a row is of another pair only if
+        that gains clearly more, and read by the learned mapping where that gains
+        clearly more than any pair.
         """
-        data = None if text.isascii() else to_bytes(text)
-        if data is None:
+        if text.isascii():
             return None
-        first, found = self.gain(text, data, self.page, self.table)
-        other = max((self.gain(text, data, p, t) for p, t in self.others), default=(0.0, text))
-        if other[0] >= max(2 * GAIN, first + GAIN):
-            return other[1]
+        first, found = self.gain(model, text, *self.pairs[0])
+        other, alike = max((self.gain(model, text, *p) for p in self.pairs[1:]), default=(0.0, text))
+        if self.learned:
+            own = text.translate(self.learned)
+            if own != text and not _enciphered(own) and model.score(own) - model.score(text) >= 2 * GAIN + max(first, other, 0.0):
+                return own
+        if other >= max(2 * GAIN, first + GAIN):
+            return alike
         return found if first >= GAIN else None
 
 
@@ -186,24 +274,13 @@ def _fold_all(text: str) -> str:
     return _FAR.sub("字", _BLANKS.sub(" ", _DIGITS.sub("0", text)).lower())
 
 
-def page_table(page: str) -> dict[int, str]:
-    """Mapping from what windows-1252 reads to what ``page`` wrote, for the upper half of the bytes."""
-    table = {}
-    for b in range(0x80, 0x100):
-        read = _decode(bytes([b]), "cp1252") or chr(b)
-        wrote = _decode(bytes([b]), page)
-        if wrote is not None:
-            table[ord(read)] = wrote
-    return table
-
-
 def first_steps(text: str) -> tuple[str, str]:
     """(kind, text) after the steps that need no learned mapping: lost, wide, utf8 or none."""
     if lost(text):
-        return "lost", ""
+        return "lost", text
     found = undo_wide(text)
     if found is not None:
-        return ("lost", "") if lost(found) else ("wide", undo_utf8(found))
+        return ("lost", found) if lost(found) else ("wide", undo_utf8(found))
     found = undo_utf8(text)
     return ("utf8", found) if found != text else ("none", text)
 
@@ -225,9 +302,11 @@ STAGED = "kind string, source string, a string, b string, c string, n long, key
 def stage(rows: DataFrame) -> DataFrame:
     """One pass over all texts (``source``, ``text``, ``key``), in long form.
 
-    ``kind`` bigram: character pairs (``a``, ``b``) of sound texts; context:
-    neighbours (``a``, ``c``) of foreign symbols ``b`` in texts that look
-    enciphered, by ``source``; else a text that is damaged or suspect, after the
+    ``kind`` bigram: character pairs (``a``, ``b``) of sound texts; context and
+    CONTEXT: neighbours (``a``, ``c``) of foreign symbols ``b`` in texts that look
+    enciphered, by ``source``, the latter beside capitals; mark: question marks
+    that are lost letters (``a`` lost) or in doubt (``a`` asked); doubt: the
+    doubtful marks of a text; else a text that is damaged or suspect, after the
     steps that need no learning.
     """
 
@@ -239,19 +318,28 @@ def stage(rows: DataFrame) -> DataFrame:
             for source, text, key in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if not text:
                     continue
+                source = source or ""
                 kind, text = first_steps(text)
-                if kind == "none" and not text.isascii():
-                    suspect = _enciphered(text)
-                    if suspect:
-                        total.update(("context", source or "", fold(text[i - 1]) if i else " ", m.group(), fold(text[i + 1]) if i + 1 < len(text) else " ") for m in _FOREIGN.finditer(text) if (i := m.start()) >= 0)
-                    else:
-                        sound.append(text)
-                    if suspect or _ODD.search(text):
-                        kept.append((kind, text, key))
+                if kind == "lost":
+                    total["mark", "", "lost", "", ""] += len(_LOST.findall(text)) if "\ufffd" not in text else 0
+                    kept.append((kind, source, "", key))
+                    continue
+                marks = doubtful_marks(text)
+                if marks:
+                    total["mark", "", "asked", "", ""] += len(marks)
+                    kept.append(("doubt", source, "".join(f"{a}{c}" for a, c in marks), key))
+                suspect = kind == "none" and not text.isascii() and _enciphered(text)
+                if suspect:
+                    for m in _FOREIGN.finditer(text):
+                        i, c = m.start(), m.group()
+                        if c in SYMBOLS:
+                            before, after = text[i - 1 : i] or " ", text[i + 1 : i + 2] or " "
+                            upper = after.isupper() or before.isupper() and not after.islower()
+                            total["CONTEXT" if upper else "context", source, fold(before), c, fold(after)] += 1
                 else:
                     sound.append(text)
-                    if kind != "none":
-                        kept.append((kind, text, key))
+                if kind != "none" or suspect or not text.isascii() and _ODD.search(text):
+                    kept.append((kind, source, text, key))
             joined = _fold_all(" " + " ".join(sound) + " ")
             codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
             low = (codes[:-1] < 128) & (codes[1:] < 128)
@@ -267,105 +355,158 @@ def stage(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, STAGED)
 
 
-def _rows(total: Counter, kept: list[tuple[str, str, int]]) -> pa.RecordBatch:
+def _rows(total: Counter, kept: list[tuple[str, str, str, int]]) -> pa.RecordBatch:
     """Counts and texts as one batch of the staged form."""
-    none = [None] * len(kept)
+    none, blank = [None] * len(kept), [None] * len(total)
     parts = list(zip(*total)) if total else [()] * 5
-    kinds = [*parts[0], *(k[0] for k in kept)]
-    columns = [pa.array(kinds, pa.string()), *(pa.array([*p, *none], pa.string()) for p in parts[1:]), pa.array([*total.values(), *none], pa.int64())]
-    blank = [None] * len(total)
-    columns += [pa.array([*blank, *(k[2] for k in kept)], pa.int64()), pa.array([*blank, *(k[1] for k in kept)], pa.string())]
+    texts = list(zip(*kept)) if kept else [()] * 4
+    columns = [pa.array([*parts[0], *texts[0]], pa.string()), pa.array([*parts[1], *texts[1]], pa.string()), *(pa.array([*p, *none], pa.string()) for p in parts[2:])]
+    columns += [pa.array([*total.values(), *none], pa.int64()), pa.array([*blank, *texts[3]], pa.int64()), pa.array([*blank, *texts[2]], pa.string())]
     return pa.RecordBatch.from_arrays(columns, ["kind", "source", "a", "b", "c", "n", "key", "text"])
 
 
-def learn_mapping(contexts: Counter, model: dict[tuple[str, str], float], floor: float, letters: str = LETTERS) -> dict[str, dict[str, float]]:
+_OPTIONS = tuple(sorted(set(LETTERS.lower())) + list("aeiounc"))
+
+
+def learn_mapping(contexts: Counter, model: Model, prior: dict[str, dict[str, float]] | None = None) -> dict[str, dict[str, float]]:
     """P(letter | symbol) by expectation-maximisation.
 
     ``contexts`` counts (left, symbol, right). The hidden letter of an occurrence
     has the posterior P(letter | left) P(right | letter) P(letter | symbol); the
-    last factor is re-estimated from the posteriors of all occurrences.
+    last factor is re-estimated from the posteriors of all occurrences and, where
+    given, from ``prior``, the mapping of all sources, which counts for ``PRIOR_ROWS``.
     """
-    options = sorted(set(letters.lower())) + list("aeiounc")
     symbols = sorted({s for _, s, _ in contexts})
     at = {s: i for i, s in enumerate(symbols)}
     keys = list(contexts)
     n = np.array([contexts[k] for k in keys], dtype=float)
     who = np.array([at[s] for _, s, _ in keys], dtype=int)
-    fit = np.array([[model.get((a, x), floor) + model.get((x, c), floor) for x in options] for a, _, c in keys]).reshape(-1, len(options))
-    theta = np.full((len(symbols), len(options)), 1 / len(options))
+    fit = np.array([[model.pairs.get((a, x), model.floor) + model.pairs.get((x, c), model.floor) for x in _OPTIONS] for a, _, c in keys]).reshape(-1, len(_OPTIONS))
+    before = np.array([[PRIOR_ROWS * p for p in (prior or {}).get(s, {}).values()] or [0.01] * len(_OPTIONS) for s in symbols]).reshape(-1, len(_OPTIONS)) + 1e-6
+    theta = before / before.sum(axis=1, keepdims=True)
     for _ in range(EM_ROUNDS if len(keys) else 0):
         post = fit + np.log(theta[who] + 1e-12)
         post = np.exp(post - post.max(axis=1, keepdims=True))
         post *= (n / post.sum(axis=1))[:, None]
-        theta = np.full_like(theta, 0.01)
+        theta = before.copy()
         np.add.at(theta, who, post)
         theta /= theta.sum(axis=1, keepdims=True)
-    return {s: dict(zip(options, theta[i])) for s, i in at.items()}
+    return {s: dict(zip(_OPTIONS, theta[i].tolist())) for s, i in at.items()}
 
 
-def learn_cipher(staged: DataFrame) -> Cipher | None:
-    """The corpus's cipher, if any text looks enciphered.
+def make_cipher(contexts: Counter, capitals: Counter, theta: dict[str, dict[str, float]], sound: dict[str, int], others: tuple[tuple[str, str], ...] = ()) -> Cipher:
+    """The pairs of code pages by agreement with a learned mapping, and the sure part of the mapping itself.
 
-    The counts cover all texts; what comes to the driver is a table whose size the
-    alphabet bounds. A source has too few damaged rows to learn a mapping of its
-    own, so the contexts of all sources are pooled; the page that agrees best is the
-    one expected of a row, the others need a clear gain (``Cipher.restore``).
+    Pairs read by windows-1252 are all kept, another one where it agrees best.
     """
-    counts = staged.where("n IS NOT NULL").groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
-    bigrams = Counter({(r["a"], r["b"]): r["n"] for r in counts if r["kind"] == "bigram"})
-    pooled = Counter({(r["a"], r["b"], r["c"]): r["n"] for r in counts if r["kind"] == "context"})
-    left: Counter = Counter()
-    for (a, _), n in bigrams.items():
-        left[a] += n
-    size = max(1, len({b for _, b in bigrams}))
-    model = {(a, b): float(np.log((n + 0.1) / (left[a] + 0.1 * size))) for (a, b), n in bigrams.items()}
-    floor = float(np.log(0.1 / (0.1 * size + max(left.values(), default=1) / max(1, len(left)))))
-    if not pooled:
-        return None
-    theta = learn_mapping(pooled, model, floor)
+    count: Counter = Counter()
+    for (_, s, _), n in contexts.items():
+        count[s] += n
+
+    def agreement(pair: tuple[str, str]) -> float:
+        table = pair_table(*pair)
+        return sum(n * float(np.log(theta[s].get(table.get(ord(s), "").lower(), 1e-6) + 1e-6)) for s, n in count.items())
+
+    ranked = sorted(PAIRS, key=agreement, reverse=True)
+    pairs = tuple(dict.fromkeys([ranked[0], *others, *(p for p in ranked if p[0] == "cp1252")]))
+    learned: dict[int, str] = {}
+    for p, n, s, letter in sorted(((p, n, s, x) for s, n in count.items() for x, p in theta[s].items() if p >= SURE), reverse=True):
+        meant = letter.upper() if 2 * capitals[s] > n else letter
+        if n >= SEEN and not s.isalpha() and not letter.isascii() and sound.get(s, 0) <= 0.2 * n and meant not in learned.values():  # a cipher is one to one
+            learned[ord(s)] = meant
+    return Cipher(pairs, learned)
 
-    def agreement(page: str) -> float:
-        table = page_table(page)
-        return sum(n * np.log(theta[s].get(table.get(ord(s), "").lower(), 1e-6) + 1e-6) for (_, s, _), n in pooled.items())
 
-    best = max(PAGES, key=agreement)
-    return Cipher(best, page_table(best), model, floor, tuple((p, page_table(p)) for p in PAGES if p != best))
+_LEARNED = "source string, cipher string"
 
 
-def finish(kind: str, text: str, cipher: Cipher | None) -> tuple[str, str] | None:
-    """(kind of damage, restored text) from what ``first_steps`` gave; None for a sound text."""
+def learn_ciphers(staged: DataFrame) -> tuple[Model, Cipher, DataFrame]:
+    """The bigram model, the cipher of all sources together, and the cipher of each source (``source``, ``cipher``).
+
+    The counts cover all texts. To the driver come the bigrams and the contexts of
+    all sources together, tables that the folded alphabet and the code pages'
+    symbols bound. A source's contexts, bounded alike, are learned from in a group
+    of their own with the pooled mapping as prior.
+    """
+    counted = staged.where("n IS NOT NULL").groupBy("kind", "a", "b", "c").agg(F.sum("n").alias("n")).collect()
+    bigrams = Counter({(r["a"], r["b"]): r["n"] for r in counted if r["kind"] == "bigram"})
+    marks = {r["a"]: r["n"] for r in counted if r["kind"] == "mark"}
+    pooled, capitals = _contexts((r["kind"], r["a"], r["b"], r["c"], r["n"]) for r in counted)
+    model = bigram_model(bigrams, marks.get("lost", 0), marks.get("asked", 0))
+    sound: Counter = Counter()
+    for (_, b), n in bigrams.items():
+        if b in SYMBOLS:
+            sound[b] += n
+    theta = learn_mapping(pooled, model)
+    shared = make_cipher(pooled, capitals, theta, sound)
+
+    def run(part: pa.Table) -> pa.Table:
+        found, upper = _contexts(zip(*(part.column(i).to_pylist() for i in range(1, 6))))
+        own = make_cipher(found, upper, learn_mapping(found, model, theta), sound, shared.pairs[:1])
+        return pa.table({"source": [part.column(0)[0].as_py()], "cipher": [own.to_json()]})
+
+    contexts = staged.where("kind IN ('context', 'CONTEXT')").groupBy("source", "kind", "a", "b", "c").agg(F.sum("n").alias("n"))
+    return model, shared, contexts.groupBy("source").applyInArrow(run, _LEARNED)
+
+
+def _contexts(rows) -> tuple[Counter, Counter]:
+    """Counts of (left, symbol, right), and of the symbols beside capitals, from (kind, left, symbol, right, n)."""
+    found, upper = Counter(), Counter()
+    for kind, a, b, c, n in rows:
+        if kind in ("context", "CONTEXT"):
+            found[a, b, c] += n
+            if kind == "CONTEXT":
+                upper[b] += n
+    return found, upper
+
+
+def finish(kind: str, text: str, model: Model | None, cipher: Cipher | None) -> tuple[str, str] | None:
+    """(kind of damage, restored text) from what was staged; None for a sound text."""
+    if kind == "doubt":
+        marks = [(text[i], int(text[i + 1])) for i in range(0, len(text), 2)]
+        return ("lost", "") if model is not None and model.took_letters(marks) else None
     if kind == "lost":
         return kind, ""
-    deciphered = cipher.restore(text) if cipher is not None else None
+    deciphered = cipher.restore(model, text) if cipher is not None and model is not None else None
     if deciphered is not None:
         kind, text = "cipher" if kind == "none" else kind, deciphered
     return None if kind == "none" else (kind, text.removeprefix("\ufeff"))
 
 
-def restore_text(text: str | None, cipher: Cipher | None) -> tuple[str, str] | None:
+def restore_text(text: str | None, model: Model | None = None, cipher: Cipher | None = None) -> tuple[str, str] | None:
     """(kind of damage, restored text) of a damaged text, '' where characters were lost; None for a sound one."""
-    return finish(*first_steps(text), cipher) if text else None
+    if not text:
+        return None
+    kind, found = first_steps(text)
+    marks = doubtful_marks(found) if kind != "lost" else []
+    if marks and model is not None and model.took_letters(marks):
+        return "lost", ""
+    return finish(kind, found, model, cipher)
 
 
 def restore_texts(responses: DataFrame, key: str = "response_id", source: str = "source_code", text: str = "text") -> DataFrame:
     """(``key``, ``damage``, ``restored``) of the damaged rows.
 
     Whatever the encoding columns say is ignored. Null and empty texts are sound;
-    a repeated row gives one row. Lost characters give an empty restored text. The
-    texts are read once; the damaged and suspect ones are staged as a table of the
-    shared folder together with the counts that the cipher is learned from.
+    a null source is a source of its own; a repeated row gives one row. Lost
+    characters give an empty restored text. The texts are read once; the damaged
+    and suspect ones are staged as a table of the shared folder together with the
+    counts that model and ciphers are learned from.
     """
     rows = responses.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(source), F.col(text), F.col(key).cast("long"))
     staged = materialise(stage(rows))
-    cipher = learn_cipher(staged)
+    model, shared, ciphers = learn_ciphers(staged)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(k, *r) for k, kind, t in zip(*(b.column(i).to_pylist() for i in range(3))) if (r := finish(kind, t, cipher)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2] for f in found], pa.string())], [key, "damage", "restored"])
-
-    damaged = staged.where("key IS NOT NULL").select("key", "kind", "text").mapInArrow(run, f"{key} long, damage string, restored string")
-    return damaged.groupBy(key).agg(F.min(F.struct("damage", "restored")).alias("v")).select(key, "v.damage", "v.restored")
+            columns = (b.column(i).to_pylist() for i in range(4))
+            found = [(k, *r) for k, kind, t, own in zip(*columns) if (r := finish(kind, t, model, Cipher.from_json(own) if own else shared)) is not None]
+            parts = list(zip(*found)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(parts, (pa.int64(), pa.string(), pa.string()))], [key, "damage", "restored"])
+
+    damaged = staged.where("key IS NOT NULL").join(ciphers, "source", "left").select("key", "kind", "text", "cipher").mapInArrow(run, f"{key} long, damage string, restored string")
+    best = F.min(F.struct((F.col("damage") != "lost").alias("sound"), "damage", "restored")).alias("v")
+    return damaged.groupBy(key).agg(best).select(key, "v.damage", "v.restored")
 
 
 def restored_digest(restored: DataFrame) -> DataFrame:
