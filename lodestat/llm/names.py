@@ -1,11 +1,19 @@
-"""Variant spellings of names: weighted character n-grams, top-n cosine join, average linkage, token check."""
+"""Variant spellings of names: weighted character n-grams, distributed top-n cosine joins, average-linkage clusters.
+
+Every entity has several written forms, each the seed of a cluster. Distinct
+spellings are joined with the forms by cosine, in blocks of both sides; a spelling
+close to its best form becomes a member of that form's cluster; the spelling then
+means the owner of the cluster with enough average linkage to it, among those that
+an exact comparison of words lets pass.
+"""
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -13,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters in a gram, candidates kept of each name, least cosine of a candidate, least average linkage of a link.
-GRAM, TOP, COSINE, LINKAGE = 3, 10, 0.2, 0.15
+from lodestat.sources.tables import bucket_count, materialise
+
+#: Characters in a gram; nearest forms kept of each spelling; least cosine of a candidate; least cosine of a cluster's member; least average linkage of a link.
+GRAM, TOP, COSINE, MEMBER, LINKAGE = 3, 16, 0.22, 0.6, 0.18
+#: Forms in a block of the join, sums that a worker holds at a time.
+BLOCK, CELLS = 20_000, 4_000_000
 
 #: Titles before a person's name.
 TITLES = frozenset("dr dra lic ing econ min sr sra srta don dona prof mg msc abog arq cnel gral ministro ministra licenciado licenciada doctor doctora ingeniero ingeniera economista mr mrs ms".split())
@@ -112,162 +124,316 @@ def tolerance(word: str) -> int:
     return 0 if len(word) < 3 else 1 if len(word) < 7 else 2
 
 
-class Catalogue:
-    """The entities, their token structure and the weighted n-gram vectors of their forms."""
-
-    def __init__(self, rows: Iterable[tuple], weight: dict[str, float] | None = None) -> None:
-        self.ids, self.kinds, self.words, self.short = [], [], [], []
-        for i, kind, canonical, short in sorted((r for r in rows if r[0] and r[2]), key=lambda r: r[0]):
-            self.ids.append(i)
-            self.kinds.append(kind)
-            self.words.append(tokens(canonical))
-            self.short.append(re.sub(r"[^a-z0-9]", "", plain(short)) if short else None)
-        orgs = Counter(t for w, k in zip(self.words, self.kinds) if k != "PERSON" for t in set(w))
-        self.common = {t for t, n in orgs.items() if n >= 4}
-        self.core = [[t for t in w if k == "PERSON" or t not in self.common] for w, k in zip(self.words, self.kinds)]
-        self.by_core = defaultdict(list)
-        for e, (c, k) in enumerate(zip(self.core, self.kinds)):
-            if k != "PERSON":
-                self.by_core[" ".join(c)].append(e)
-        self.by_short = defaultdict(list)
-        for e, s in enumerate(self.short):
-            if s:
-                self.by_short[s].append(e)
-        self.by_initials = defaultdict(list)
-        for e, (w, k) in enumerate(zip(self.words, self.kinds)):
-            if k != "PERSON" and len(w) > 1:
-                self.by_initials["".join(t[0] for t in w)].append(e)
-        seeds = [(e, w) for e, w in enumerate(self.words)] + [(e, c) for e, c in enumerate(self.core) if c and c != self.words[e]]
-        seeds += [(e, w[-2:]) for e, (w, k) in enumerate(zip(self.words, self.kinds)) if k == "PERSON" and len(w) > 2]
-        seeds += [(e, [w[0], w[-2]]) for e, (w, k) in enumerate(zip(self.words, self.kinds)) if k == "PERSON" and len(w) > 2]
-        self.owner = np.array([e for e, _ in seeds], dtype=int)
-        bags = [grams(w) for _, w in seeds]
-        seen = Counter(g for b in bags for g in b)
-        self.weight = {g: (weight or {}).get(g, float(np.log(1 + len(bags) / n))) for g, n in seen.items()}
-        self.postings: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        lists = defaultdict(list)
-        for s, bag in enumerate(bags):
-            norm = sum((n * self.weight[g]) ** 2 for g, n in bag.items()) ** 0.5 or 1.0
-            for g, n in bag.items():
-                lists[g].append((s, n * self.weight[g] / norm))
-        for g, pairs in lists.items():
-            self.postings[g] = (np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
-        self.members = np.bincount(self.owner, minlength=len(self.ids)).astype(float)
-        self.types = sorted((t for t in self.common if len(t) >= 5), key=len, reverse=True)
-
-    def candidates(self, words: list[str]) -> list[tuple[int, float, float]]:
-        """(entity, greatest cosine, average linkage) of the ``TOP`` entities nearest to a name.
-
-        The average linkage to an entity's cluster of forms is the mean cosine
-        with its members.
+#: Between an acronym and the words behind it in brackets, in a spelling's key.
+BEHIND = "("
+
+
+def spelling(name: str, types: Sequence[str], common: frozenset[str]) -> str:
+    """The key of a typed name: its words, evened out, with words that were run together parted; '' where none is left."""
+    both = _WITH_CORE.match(name)
+    if both:
+        return " ".join([re.sub(r"[^a-z]", "", plain(both[1])), BEHIND, *tokens(both[2])])
+    out = []
+    for w in tokens(name):
+        cut = next(((t, w.startswith(t)) for t in types if len(w) - len(t) > 2 and (w.startswith(t) or w.endswith(t))), None) if len(w) > 9 and w not in common else None
+        out += [w] if cut is None else [cut[0], w[len(cut[0]) :]] if cut[1] else [w[: -len(cut[0])], cut[0]]
+    return " ".join(out)
+
+
+def agreement(words: list[str], own: list[str], common: list[bool], person: bool, shared: bool) -> float:
+    """How well a name's words are the entity's: 0 if any of them has no counterpart, or the telling ones are missing.
+
+    ``common`` marks the entity's words that many organisations share; ``shared``
+    says that several have its telling words.
+    """
+    joined = "".join(words)
+    if len(words) <= len(own) and len(joined) > 8:  # words run together
+        d = edits(joined, "".join(own), 2)
+        if d <= 2:
+            return 2.0 - 0.1 * d
+    free, score, exact, ignored = list(range(len(own))), 0.0, set(), 0
+    for w in sorted(words, key=len, reverse=True):
+        options = []
+        for j in free:
+            t = own[j]
+            if len(w) == 1:
+                if t[0] == w:
+                    options.append((0.5, -j, j, False))
+                continue
+            most = tolerance(t)
+            d = edits(w, t, most)
+            if d > most > 0 and sound(w) == sound(t):
+                d = most
+            if d <= most and d < len(w) - 1:
+                options.append((1 - 0.2 * d, -j, j, True))
+            elif not person and common[j] and len(w) >= 3 and t.startswith(w):
+                options.append((0.7, -j, j, True))
+        if not options:
+            if not person and len(w) <= 3 and any(edits(w, x, 1) <= 1 for x in ("de", "del")):
+                ignored += 1
+                continue
+            return 0.0
+        gain, _, j, full = max(options)
+        free.remove(j)
+        score += gain
+        if full:
+            exact.add(j)
+    if person:
+        given, last = set(range(len(own) - 2)), {len(own) - 2, len(own) - 1}
+        named = set(range(len(own))) - set(free)
+        if not exact & last or not (named & given or last <= exact) or len(own) - 2 not in named:  # a second surname alone is not how anybody is called
+            return 0.0
+    else:
+        telling = {j for j in range(len(own)) if not common[j]}
+        if not telling <= exact or len(words) < len(own) and len(exact) == len(telling) and shared:  # the telling words alone, which several organisations share
+            return 0.0
+    return score / max(1, len(words) - ignored) + 0.01 * score / len(own)
+
+
+def fits(words: list[str], info: dict) -> float:
+    """The exact comparison of a spelling with the entity behind a form; 0 if it can't be meant."""
+    own, short = info["words"], [x for x in (info["short"], info["initials"]) if x]
+    if BEHIND in words:  # an acronym with the telling words behind it
+        core = words[2:]
+        return 2.5 if words[0] in short and core and all(any(edits(w, t, tolerance(t)) <= tolerance(t) for t in own) for w in core) else 0.0
+    if info["kind"] in ("short", "initials"):
+        return (3.0 if info["kind"] == "short" else 2.9) if words == [info[info["kind"]]] else 0.0
+    return agreement(words, own, info["common"], info["person"], info["shared"])
+
+
+def described(entities: DataFrame) -> DataFrame:
+    """(``entity``, ``person``, ``words``, ``short``) of each entity with an id and a name; a repeated one once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, k == "PERSON", tokens(n), re.sub(r"[^a-z0-9]", "", plain(s)) if s else "") for i, k, n, s in zip(*(b.column(c).to_pylist() for c in range(4)))]
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.list_(pa.string()), pa.string()))], ["entity", "person", "words", "short"])
+
+    named = entities.where("economic_entity_id IS NOT NULL AND canonical_name IS NOT NULL")
+    one = named.groupBy(F.col("economic_entity_id").cast("string").alias("id")).agg(F.min(F.struct("entity_type", "canonical_name", "short_name")).alias("v"))
+    return one.select("id", "v.entity_type", "v.canonical_name", "v.short_name").mapInArrow(run, "entity string, person boolean, words array<string>, short string").where(F.size("words") > 0)
+
+
+def common_words(known: DataFrame) -> frozenset[str]:
+    """Words that at least four organisations of the catalogue share: a vocabulary, like that of a language."""
+    rows = known.where("NOT person").select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").collect()
+    return frozenset(r["word"] for r in rows)
+
+
+def entity_forms(known: DataFrame, common: frozenset[str]) -> DataFrame:
+    """(``form``, ``written``, ``info``): the forms each entity may be written in, with what the exact comparison needs.
+
+    The full name; an organisation's telling words, short name, initials, and these
+    with the telling words behind; a person's surnames and given name with surname.
+    """
+    core = F.array_join(F.filter("words", lambda w: ~w.isin(*sorted(common))) if common else F.col("words"), " ")
+    telling = known.withColumn("core", F.when(F.col("person"), F.array_join("words", " ")).otherwise(core))
+    shared = telling.where("NOT person").groupBy("core").agg((F.count(F.lit(1)) > 1).alias("shared"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            rows = []
+            for entity, person, words, short, core, several in zip(*(b.column(c).to_pylist() for c in range(6))):
+                initials = "".join(w[0] for w in words) if not person and len(words) > 1 else ""
+                info = {"entity": entity, "person": person, "words": words, "common": [not person and w in common for w in words], "shared": bool(several), "short": short, "initials": initials}
+                forms = {"full": [" ".join(words)], "core": [core] if core else [], "short": [short] if short else [], "initials": [initials] if initials else []}
+                forms["behind"] = [f"{a} {BEHIND} {core}" for a in {short, initials} if a and core]
+                if person and len(words) > 2:
+                    forms["parts"] = [" ".join(words[-2:]), f"{words[0]} {words[-2]}"]
+                for kind, written in forms.items():
+                    for text in sorted(set(written)):
+                        rows.append((xxhash.xxh3_64_intdigest(f"{entity}\x00{kind}\x00{text}") - 2**63, text, json.dumps({**info, "kind": kind})))
+            columns = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))], ["form", "written", "info"])
+
+    return telling.join(shared, "core", "left").select("entity", "person", "words", "short", "core", "shared").mapInArrow(run, "form long, written string, info string")
+
+
+def weighted(key: str, weight: dict[str, float]) -> tuple[list[str], np.ndarray]:
+    """The unit vector of a spelling: its grams and their weights."""
+    bag = grams(w for w in key.split(" ") if w != BEHIND)
+    values = np.array([n * weight.get(g, 1.0) for g, n in bag.items()])
+    return list(bag), values / (np.sqrt((values**2).sum()) or 1.0)
+
+
+class Block:
+    """Vectors of a block of forms as postings by gram; answers which forms are near a spelling."""
+
+    def __init__(self, vectors: Sequence[tuple[Sequence[str], np.ndarray]]) -> None:
+        self.size, self.gram = len(vectors), {}
+        at = [self.gram.setdefault(g, len(self.gram)) for names, _ in vectors for g in names]
+        owner = np.repeat(np.arange(len(vectors)), [len(n) for n, _ in vectors])
+        value = np.concatenate([v for _, v in vectors]) if vectors else np.zeros(0)
+        gram = np.array(at, dtype=np.int64)
+        order = np.lexsort((owner, gram))
+        self.owner, self.value = owner[order], value[order]
+        self.start = np.searchsorted(gram[order], np.arange(len(self.gram) + 1))
+        self.length = np.diff(self.start)
+        self.code = gram[order] * max(1, self.size) + self.owner
+
+    def near(self, vectors: Sequence[tuple[Sequence[str], np.ndarray]], top: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(spelling, form, cosine) of the ``top`` forms of each spelling with a cosine of at least ``least``.
+
+        The grams with the longest postings are left out of the search as long as
+        their part of the spelling's vector is shorter than ``least``: a form that
+        shares nothing else can't reach it. They are added for the forms found.
         """
-        bag = grams(words)
-        norm = sum((n * self.weight.get(g, 1.0)) ** 2 for g, n in bag.items()) ** 0.5 or 1.0
-        cosine = np.zeros(len(self.owner))
-        for g, n in bag.items():
-            if g in self.postings:
-                at, w = self.postings[g]
-                cosine[at] += n * self.weight[g] / norm * w
-        best = np.zeros(len(self.ids))
-        np.maximum.at(best, self.owner, cosine)
-        mean = np.bincount(self.owner, weights=cosine, minlength=len(self.ids)) / np.maximum(self.members, 1)
-        top = np.argpartition(-best, min(TOP, len(best) - 1))[:TOP] if len(best) else []
-        return [(int(e), float(best[e]), float(mean[e])) for e in top if best[e] >= COSINE and mean[e] >= LINKAGE]
-
-    def split(self, words: list[str]) -> list[str]:
-        """Part words that were run together with a word common among the catalogue's organisations."""
-        out = []
-        for w in words:
-            if len(w) > 9 and w not in self.common:
-                for t in self.types:
-                    if w.startswith(t) and len(w) - len(t) > 2:
-                        out += [t, w[len(t) :]]
-                        break
-                    if w.endswith(t) and len(w) - len(t) > 2:
-                        out += [w[: -len(t)], t]
-                        break
-                else:
-                    out.append(w)
-            else:
-                out.append(w)
-        return out
-
-    def agreement(self, words: list[str], e: int) -> float:
-        """How well a name's words are the entity's: 0 if any of them has no counterpart, or the telling ones are missing."""
-        own, person = self.words[e], self.kinds[e] == "PERSON"
-        joined = "".join(words)
-        if len(words) <= len(own) and len(joined) > 8:  # words run together
-            whole = "".join(own)
-            d = edits(joined, whole, 2)
-            if d <= 2:
-                return 2.0 - 0.1 * d
-        free, score, exact, ignored = list(range(len(own))), 0.0, set(), 0
-        for w in sorted(words, key=len, reverse=True):
-            options = []
-            for j in free:
-                t = own[j]
-                if len(w) == 1:
-                    if t[0] == w:
-                        options.append((0.5, -j, j, False))
-                    continue
-                most = tolerance(t)
-                d = edits(w, t, most)
-                if d > most > 0 and sound(w) == sound(t):
-                    d = most
-                if d <= most and len(w) > 1 and d < len(w) - 1:
-                    options.append((1 - 0.2 * d, -j, j, True))
-                elif not person and t in self.common and len(w) >= 3 and t.startswith(w):
-                    options.append((0.7, -j, j, True))
-            if not options:
-                if not person and len(w) <= 3 and any(edits(w, x, 1) <= 1 for x in ("de", "del")):
-                    ignored += 1
-                    continue
-                return 0.0
-            gain, _, j, full = max(options)
-            free.remove(j)
-            score += gain
-            if full:
-                exact.add(j)
-        if person:
-            given, surnames = set(range(len(own) - 2)), {len(own) - 2, len(own) - 1}
-            named = set(range(len(own))) - set(free)
-            if not exact & surnames or not (named & given or {len(own) - 2, len(own) - 1} <= exact):
-                return 0.0
-            if len(own) - 2 not in named:  # a second surname alone is not how anybody is called
-                return 0.0
-        else:
-            telling = {j for j, t in enumerate(own) if t not in self.common}
-            if not telling <= exact:
-                return 0.0
-            if len(words) < len(own) and len(exact) == len(telling) and len(self.by_core[" ".join(self.core[e])]) > 1:
-                return 0.0  # the telling word alone, which several organisations share
-        return score / max(1, len(words) - ignored) + 0.01 * score / len(own)
-
-    def link(self, name: str | None) -> str | None:
-        """Id of the entity that a name means, or None where none or more than one fits best."""
-        if not name or not name.strip():
-            return None
-        words = tokens(name)
-        if not words:
-            return None
-        if len(words) == 1 and len(words[0]) <= 6:
-            found = self.by_short.get(words[0]) or []
-            if len(found) == 1:
-                return self.ids[found[0]]
-            if not found and len(self.by_initials.get(words[0], [])) == 1:
-                return self.ids[self.by_initials[words[0]][0]]
-        both = _WITH_CORE.match(name)
-        if both:  # an acronym with the telling words behind it
-            initials = re.sub(r"[^a-z]", "", plain(both[1]))
-            core = tokens(both[2])
-            fits = [e for e, _, _ in self.candidates(core) if initials in (self.short[e], "".join(t[0] for t in self.words[e])) and all(any(edits(w, t, tolerance(t)) <= tolerance(t) for t in self.words[e]) for w in core)]
-            return self.ids[fits[0]] if len(fits) == 1 else None
-        words = self.split(words)
-        scored = sorted(((self.agreement(words, e), e) for e, _, _ in self.candidates(words)), reverse=True)
-        scored = [s for s in scored if s[0] > 0]
-        if not scored or len(scored) > 1 and scored[0][0] - scored[1][0] < 1e-9:
-            return None
-        return self.ids[scored[0][1]]
+        step = max(1, CELLS // max(1, self.size))
+        for lo in range(0, len(vectors), step):
+            part = vectors[lo : lo + step]
+            who = np.repeat(np.arange(len(part)), [len(n) for n, _ in part])
+            gram = np.array([self.gram.get(g, -1) for names, _ in part for g in names], dtype=np.int64)
+            value = np.concatenate([v for _, v in part])
+            seen = gram >= 0
+            who, gram, value = who[seen], gram[seen], value[seen]
+            order = np.lexsort((-self.length[gram], who))
+            who, gram, value = who[order], gram[order], value[order]
+            square = np.cumsum(value**2)
+            first = np.searchsorted(who, np.arange(len(part)))
+            before = np.concatenate([[0.0], square])[first]
+            left = square - before[who] < least**2 * 0.999
+            norm = np.sqrt(np.bincount(who[left], weights=value[left] ** 2, minlength=len(part)))
+            total = self._sums(who[~left], gram[~left], value[~left], len(part))
+            row, form = np.nonzero(total >= np.maximum(least - norm, 1e-9)[:, None])
+            cosine = total[row, form]
+            skipped = np.bincount(who[left], minlength=len(part))
+            start = np.searchsorted(who[left], np.arange(len(part)))
+            many = skipped[row]
+            pair = np.repeat(np.arange(len(row)), many)
+            at = start[row][pair] + np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many)
+            code = gram[left][at] * max(1, self.size) + form[pair]
+            hit = np.minimum(np.searchsorted(self.code, code), max(0, len(self.code) - 1))
+            same = self.code[hit] == code if len(self.code) else np.zeros(0, dtype=bool)
+            cosine += np.bincount(pair[same], weights=value[left][at][same] * self.value[hit[same]], minlength=len(row))
+            good = cosine >= least
+            row, form, cosine = row[good], form[good], cosine[good]
+            order = np.lexsort((form, -cosine, row))
+            row, form, cosine = row[order], form[order], cosine[order]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            yield row[place < top] + lo, form[place < top], cosine[place < top]
+
+    def _sums(self, who: np.ndarray, gram: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+        many = self.length[gram]
+        at = np.repeat(self.start[gram] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        cell = np.repeat(who, many) * self.size + self.owner[at]
+        return np.bincount(cell, weights=np.repeat(value, many) * self.value[at], minlength=rows * self.size).reshape(rows, self.size)
+
+
+_NEAR = "key string, form long, cosine double"
+
+
+def near_forms(keys: DataFrame, forms: DataFrame, weight: dict[str, float], blocks: int, parts: int) -> DataFrame:
+    """(``key``, ``form``, ``cosine``): the ``TOP`` nearest forms of each key, of all forms with a cosine of at least ``COSINE``.
+
+    Both sides are cut into blocks; each pair of blocks is one task's work, and the
+    best of all blocks are merged.
+    """
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        spelt, form = left.column("key").to_pylist(), right.column("form").to_numpy()
+        found = [[], [], []]
+        if spelt and len(form):
+            block = Block([weighted(w, weight) for w in right.column("written").to_pylist()])
+            for k, f, c in block.near([weighted(k, weight) for k in spelt], TOP, COSINE):
+                found[0] += [spelt[i] for i in k.tolist()]
+                found[1].append(form[f])
+                found[2].append(c)
+        columns = [pa.array(found[0], pa.string()), *(pa.array(np.concatenate(x) if x else [], t) for x, t in zip(found[1:], (pa.int64(), pa.float64())))]
+        return pa.Table.from_arrays(columns, ["key", "form", "cosine"])
+
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = keys.select("key", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), every(blocks, "block"))
+    right = forms.select("form", "written", F.pmod(F.xxhash64("form"), F.lit(blocks)).cast("int").alias("block"), every(parts, "part"))
+    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(run, _NEAR)
+    if blocks == 1:
+        return found
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "form"))), 1, TOP)
+    return found.groupBy("key").agg(best.alias("b")).select("key", F.explode("b").alias("b")).select("key", "b.form", (-F.col("b.far")).alias("cosine"))
+
+
+def clusters(near: DataFrame, forms: DataFrame, weight: dict[str, float]) -> DataFrame:
+    """(``form``, ``grams``, ``sums``, ``members``): each form's cluster as the sum of its members' vectors.
+
+    Its members are the form and the spellings nearest to it of all forms, with a
+    cosine of at least ``MEMBER``. Vectors have length 1, so the average linkage of
+    a spelling to a cluster is its product with the sum over the number of members.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for b in batches:
+            for form, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                names, values = weighted(key, weight)
+                total[form, ""] += 1.0
+                for g, v in zip(names, values.tolist()):
+                    total[form, g] += v
+            if len(total) > 500_000:
+                yield _summed(total)
+                total = Counter()
+        yield _summed(total)
+
+    best = near.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("far"), "form")).alias("b"))
+    members = best.where(F.col("b.far") <= -MEMBER).select(F.col("b.form").alias("form"), "key").unionByName(forms.select("form", F.col("written").alias("key")))
+    sums = members.mapInArrow(run, "form long, gram string, value double").groupBy("form", "gram").agg(F.sum("value").alias("value"))
+    of = sums.groupBy("form").agg(F.collect_list(F.when(F.col("gram") != "", F.struct("gram", F.col("value").cast("float").alias("value")))).alias("v"), F.max(F.when(F.col("gram") == "", F.col("value"))).alias("members"))
+    return of.select("form", F.col("v.gram").alias("grams"), F.col("v.value").alias("sums"), "members")
+
+
+def _summed(total: Counter) -> pa.RecordBatch:
+    forms, names = zip(*total) if total else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(forms, pa.int64()), pa.array(names, pa.string()), pa.array(list(total.values()), pa.float64())], ["form", "gram", "value"])
+
+
+_MEANT = "key string, entity string, linkage double, score double"
+
+
+def linked(near: DataFrame, forms: DataFrame, grown: DataFrame, weight: dict[str, float], blocks: int, parts: int) -> DataFrame:
+    """(``key``, ``entity``, ``linkage``, ``score``) of the clusters near a key with enough average linkage that pass the exact comparison."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        form = right.column("form").to_pylist()
+        at, out = {f: i for i, f in enumerate(form)}, []
+        gram: dict[str, int] = {}
+        lists = [[gram.setdefault(g, len(gram)) for g in names] for names in right.column("grams").to_pylist()]
+        sums, members, info = right.column("sums").to_pylist(), right.column("members").to_pylist(), [json.loads(i) for i in right.column("info").to_pylist()]
+        held = max(1, 4 * CELLS // max(1, len(gram)))
+        pairs: dict[int, list[tuple[str, list[int]]]] = {}
+        for key, near_ones in zip(left.column("key").to_pylist(), left.column("near").to_pylist()):
+            of: dict[int, list[int]] = {}
+            for f in near_ones:
+                if f in at:
+                    of.setdefault(at[f] // held, []).append(at[f])
+            for lot, which in of.items():
+                pairs.setdefault(lot, []).append((key, which))
+        for lot in sorted(pairs):
+            lo = lot * held
+            dense = np.zeros((min(held, len(form) - lo), len(gram)), dtype=np.float32)
+            for i in range(len(dense)):
+                dense[i, lists[lo + i]] = np.array(sums[lo + i], dtype=np.float32) / members[lo + i]
+            for key, which in pairs[lot]:
+                names, values = weighted(key, weight)
+                known = [(gram[g], v) for g, v in zip(names, values.tolist()) if g in gram]
+                linkage = dense[np.array(which)[:, None] - lo, [g for g, _ in known]] @ np.array([v for _, v in known])
+                words, scores = key.split(" "), {}
+                for f, link in zip(which, linkage.tolist()):
+                    if link >= LINKAGE:
+                        who = (info[f]["entity"], info[f]["kind"] if info[f]["kind"] in ("short", "initials") else "")
+                        if who not in scores:
+                            scores[who] = (fits(words, info[f]), link)
+                        scores[who] = (scores[who][0], max(link, scores[who][1]))
+                out += [(key, e, link, score) for (e, _), (score, link) in scores.items() if score > 0]
+        columns = list(zip(*out)) or [()] * 4
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64(), pa.float64()))], ["key", "entity", "linkage", "score"])
+
+    block = F.pmod(F.xxhash64("form"), F.lit(blocks)).cast("int").alias("block")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    left = near.select("key", "form", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), block)
+    left = left.groupBy("part", "block", "key").agg(F.collect_list("form").alias("near"))
+    right = forms.join(grown, "form").select("form", "info", "grams", "sums", "members", block, every)
+    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(run, _MEANT)
 
 
 def names_of(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -278,44 +444,61 @@ def names_of(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
     return m.unionByName(lists).unionByName(p).where("name IS NOT NULL AND record_id IS NOT NULL").distinct()
 
 
-def gram_weights(names: DataFrame) -> dict[str, float]:
-    """Inverse document frequency of each character n-gram over all distinct names; the grams of an alphabet bound its size."""
+def gram_weights(keys: DataFrame) -> dict[str, float]:
+    """Inverse document frequency of each character n-gram over all distinct spellings; the grams of an alphabet bound its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         n = 0
         for b in batches:
-            for name in b.column(0).to_pylist():
+            for key in b.column(0).to_pylist():
                 n += 1
-                total.update(g for g in grams(tokens(name)) if g.isascii())
+                total.update(g for g in grams(key.split(" ")) if g.isascii())
         yield pa.RecordBatch.from_arrays([pa.array([*total, ""]), pa.array([*total.values(), n], pa.int64())], ["gram", "n"])
 
-    counts = {r["gram"]: r["n"] for r in names.select("name").distinct().mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    counts = {r["gram"]: r["n"] for r in keys.select("key").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
     everything = counts.pop("", 0)
-    return {g: float(np.log(1 + everything / n)) for g, n in counts.items()}
+    return {g: float(np.log(1 + everything / n)) for g, n in counts.items() if n}
 
 
-def link_names(names: DataFrame, entities: DataFrame) -> DataFrame:
-    """(``field``, ``record_id``, ``pos``, ``economic_entity_id``) of each name that means a catalogue entity.
-
-    The catalogue is a fixed table (checked to stay below 20 000 rows) and is
-    copied to the workers. Distinct spellings are linked once, so a spelling that
-    a third of the rows share costs one comparison: its n-gram vector is joined
-    with the entities' (the top ``TOP`` by cosine), those with enough average
-    linkage to the entity's cluster of forms are kept, and a token check settles
-    which one is meant. Null and blank names, names of nobody in the catalogue and
-    names that fit several entities equally get no row.
-    """
-    rows = [tuple(r) for r in entities.select("economic_entity_id", "entity_type", "canonical_name", "short_name").limit(20_001).collect()]
-    if len(rows) > 20_000:
-        raise ValueError("economic_entity is meant to be a catalogue of bounded size")
-    weights = gram_weights(names)
+def spelt(names: DataFrame, common: frozenset[str]) -> DataFrame:
+    """(``name``, ``key``) of each distinct typed name that has any word."""
+    types = sorted((t for t in common if len(t) >= 5), key=lambda t: (-len(t), t))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        catalogue = Catalogue(rows, weights)
         for b in batches:
-            found = [(n, e) for n in b.column(0).to_pylist() if (e := catalogue.link(n)) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string())], ["spelling", "economic_entity_id"])
+            rows = [(n, k) for n in b.column(0).to_pylist() if n.strip() and (k := spelling(n, types, common))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["name", "key"])
+
+    return names.select("name").distinct().mapInArrow(run, "name string, key string")
+
+
+def resolve(names: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``name``, ``key``) of the distinct names, and all that ``linked`` gives of the keys."""
+    known = materialise(described(entities))
+    common = common_words(known)
+    forms = materialise(entity_forms(known, common))
+    typed = materialise(spelt(names, common))
+    keys = typed.select("key").distinct()
+    blocks, parts = max(1, -(-forms.count() // BLOCK)), bucket_count(typed, bytes_per_bucket=1 << 20)
+    weight = gram_weights(keys)
+    near = materialise(near_forms(keys, forms, weight, blocks, parts))
+    return typed, linked(near, forms, clusters(near, forms, weight), weight, blocks, parts)
 
-    linked = names.select("name").distinct().mapInArrow(run, "spelling string, economic_entity_id string")
-    return names.join(linked, F.col("name") == F.col("spelling")).select("field", "record_id", F.col("pos").cast("int").alias("pos"), "economic_entity_id")
+
+def link_names(names: DataFrame, entities: DataFrame) -> DataFrame:
+    """(``field``, ``record_id``, ``pos``, ``economic_entity_id``) of each name that means a catalogue entity.
+
+    Distinct spellings are linked once, so a spelling that a third of the rows
+    share costs one comparison. A spelling's n-gram vector is joined with those of
+    the entities' forms (the top ``TOP`` by cosine); the clusters around these forms
+    with an average linkage of at least ``LINKAGE`` may be meant; of those that pass
+    the exact comparison of words (``fits``) the best counts. Null and blank names,
+    names of nobody in the catalogue and names that fit several entities equally
+    get no row. Nothing bounds the size of either table.
+    """
+    typed, meant = resolve(names, entities)
+    by_score = meant.groupBy("key", "entity").agg(F.max(F.round("score", 9)).alias("score")).groupBy("key").agg(F.max("score").alias("score"), F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "entity"))).alias("who"))
+    sure = by_score.where((F.size("who") == 1) | (F.get("who", F.lit(0))["far"] < F.get("who", F.lit(1))["far"])).select("key", F.get("who", F.lit(0))["entity"].alias("economic_entity_id"))
+    of = typed.join(sure, "key").select(F.col("name").alias("spelling"), "economic_entity_id")
+    return names.join(of, F.col("name") == F.col("spelling")).select("field", "record_id", F.col("pos").cast("int").alias("pos"), "economic_entity_id")
