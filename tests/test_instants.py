@@ -2,7 +2,7 @@ from datetime import UTC, datetime
 
 import pytest
 
-from lodestat.operators.instants import estimate_zones, normalise_source_times
+from lodestat.operators.instants import CANDIDATE_ZONES, estimate_zones, local_to_instant, normalise_source_times, sequence_bounds
 
 RESP = "response_id long, source_code string, last_modified string, response_date string, publication_dates array<string>, content_language string, time_zone string"
 CAND = "candidate_id long, published_at string, lang string, time_zone string, response_id long"
@@ -20,6 +20,10 @@ CASES = [
     ("05/03/2023", "es", us(2023, 3, 5, 4)), ("5/3/2023 10:20:30", "pt", us(2023, 3, 5, 14, 20, 30)), ("3/5/2023 1:20 PM", "en-US", us(2023, 3, 5, 17, 20)), ("05.03.2023 10:20", "es", us(2023, 3, 5, 14, 20)), ("05/03/2023 12:05 a. m.", "es", us(2023, 3, 5, 4, 5)),
     ("5 de marzo de 2023, 10:20 hrs", "es", us(2023, 3, 5, 14, 20)), ("5 de março de 2023 às 10h20", "pt", us(2023, 3, 5, 14, 20)), ("5 de setiembre de 2023 - 1:20 p.m.", "es", us(2023, 9, 5, 17, 20)), ("5 mar 2023, 9:20 h", "es", us(2023, 3, 5, 13, 20)),
     ("March 5, 2023 10:20 PM", "en-US", us(2023, 3, 6, 2, 20)), ("Sep. 5, 2023 12:00 PM", "en-US", us(2023, 9, 5, 16)), ("1678144920", "es", 1678144920 * 10**6), ("1678144920123", "es", 1678144920123 * 1000), ("1678144920123456", "es", 1678144920123456),
+    ("2023/03/06 10:20", "es", us(2023, 3, 6, 14, 20)), ("5 March 2023", "en-US", us(2023, 3, 5, 4)), ("Mar 5 2023", "en-US", us(2023, 3, 5, 4)), ("20230305", "es", us(2023, 3, 5, 4)), ("5 de marzo del 2023", "es", us(2023, 3, 5, 4)),
+    ("Mon, 6 Mar 2023 23:22:00 +0000 (UTC)", "es", us(2023, 3, 6, 23, 22)), ("March 5, 2023 at 10:20 AM", "en-US", us(2023, 3, 5, 14, 20)), ("2023-07-06 10:20:00 Europe/Madrid", "es", us(2023, 7, 6, 8, 20)), ("2023-07-06T10:20:00 [America/Lima]", "es", us(2023, 7, 6, 15, 20)),
+    ("20.05.2021 11:04", "en-US", us(2021, 5, 20, 15, 4)), ("05.03.2021", "en-US", us(2021, 3, 5, 4)), ("sábado, 4 de marzo de 2023", "es", us(2023, 3, 4, 4)), ("2023-03-06T10:20:30+14:00", "es", us(2023, 3, 5, 20, 20, 30)),
+    ("5 de martes de 2024", "es", None), ("marble 5, 2024", "en-US", None), ("2023-03-06T10:20:30+99:99", "es", None), ("2023-03-06T10:20:30+05:75", "es", None), ("2023-03-06 10:20 Nowhere/Else", "es", None), ("2023/13/06", "es", None), ("20231399", "es", None),
     ("31/11/2024", "es", None), ("2023-02-30", "es", None), ("0000-00-00 00:00:00", "es", None), ("ayer", "es", None), ("", "es", None), ("2023-03-06 25:00:00", "es", None), ("2023-03-06 10:20 XYZ", "es", None), ("13/05/2023", "en-US", None), (None, "es", None),
 ]
 
@@ -53,6 +57,26 @@ def test_estimate_prefers_no_violation(spark):
     assert estimate_zones(rows, "src", "w", "s", ["UTC", "Europe/Madrid"]).collect()[0]["zone_estimate"] == "Europe/Madrid"
 
 
+def test_withheld_zones_are_found_again(spark):
+    """Two pages a week over two years, fetched up to a day after they were written, or known by their neighbours alone."""
+    from pyspark.sql import functions as F
+
+    zones = spark.createDataFrame([(z,) for z in CANDIDATE_ZONES], "src string")
+    start = us(2021, 1, 1)
+    local = zones.select("src", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("i")).select("src", "i", (F.lit(start) + F.col("i") * 302_400_000_000).alias("instant"))
+    local = local.withColumn("w", F.unix_micros(F.from_utc_timestamp(F.timestamp_micros("instant"), F.col("src"))))
+    seen = local.withColumn("s", F.col("instant") + F.abs(F.xxhash64("src", "i")) % 86_400_000_000)
+    found = {r["src"]: r["zone_estimate"] for r in estimate_zones(seen, "src", "w", "s", CANDIDATE_ZONES).collect()}
+    same = {"America/Lima": "America/Bogota", "America/Sao_Paulo": "America/Argentina/Buenos_Aires"}  # one offset history: the first by name stands for both
+    assert found == {z: same.get(z, z) for z in CANDIDATE_ZONES}
+    marks = local.select("src", (F.col("i") * 3).alias("place"), "w", F.lit(None).cast("long").alias("known"))
+    marks = marks.unionByName(local.select("src", (F.col("i") * 3 - 1).alias("place"), F.lit(None).cast("long").alias("w"), (F.col("instant") - 600_000_000).alias("known")))
+    marks = marks.unionByName(local.select("src", (F.col("i") * 3 + 1).alias("place"), F.lit(None).cast("long").alias("w"), (F.col("instant") + 600_000_000).alias("known")))
+    bounds = sequence_bounds(marks, "src", "place", "known").where("w IS NOT NULL")
+    found = {r["src"]: r["zone_estimate"] for r in estimate_zones(bounds, "src", "w", "before_us", CANDIDATE_ZONES, "after_us").collect()}
+    assert found == {z: same.get(z, z) for z in CANDIDATE_ZONES}
+
+
 def test_repeats_and_empty(spark):
     row = (1, "s", "2023-01-01 00:00:00", None, [], "es", "Europe/Madrid")
     empty = spark.createDataFrame([], CAND)
