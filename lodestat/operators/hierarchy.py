@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lodestat.sources.tables import materialise, release
@@ -45,54 +45,61 @@ def part_of(column: str) -> tuple[Column, Column]:
     return F.split_part(F.col(column), F.lit(":"), F.lit(1)), F.regexp_replace(F.col(column), "^[^:]*:", "")
 
 
-def _chosen(rnd: int) -> Column:
-    """Unary nodes that are local maxima of this round's hash: no two of them are neighbours.
-    A node that lost leaves in this round waits, so that its leaves find it when the round is reversed."""
-    h = lambda c: F.xxhash64(c, F.lit(rnd))
-    return (F.col("kids") == 1) & (F.col("raked") == 0) & F.col("parent").isNotNull() & (F.col("parent") != F.col("id")) & (h("id") > h("parent")) & (h("id") > h("kid"))
+#: What became of a node in a round.
+LIVE, RAKED, SPLICED = 0, 1, 2
+
+#: One round: every leaf is raked into its parent; then unary nodes that are local maxima of the round's hash, so that
+#: no two of them are neighbours, are spliced out. The parent of a spliced node stays: a spliced row is as it was.
+_ROUND = """
+    WITH told AS (
+        SELECT parent AS k, sum(IF(kids = 0, acc + 1 + above, 0)) AS add, count_if(kids > 0) AS left, min(IF(kids > 0, struct(id, above), NULL)) AS next
+        FROM {live} WHERE parent IS NOT NULL GROUP BY parent),
+    kept AS (
+        SELECT *, IF(kids = 1 AND parent IS NOT NULL AND parent <> id AND xxhash64(id, {rnd}) > xxhash64(parent, {rnd}) AND xxhash64(id, {rnd}) > xxhash64(kid, {rnd}), 2, 0) AS state
+        FROM (SELECT id, parent, w, above, acc + coalesce(add, 0L) AS acc, coalesce(left, 0L) AS kids, next.id AS kid, next.above AS kid_above
+              FROM {live} LEFT JOIN told ON id = k WHERE kids > 0 OR parent IS NULL)),
+    over AS (SELECT id AS v, parent AS vp, w AS vw, acc + 1 + above AS vabove FROM kept WHERE state = 2)
+    SELECT id, coalesce(vp, parent) AS parent, w + coalesce(vw, 0L) AS w, above + coalesce(vabove, 0L) AS above, acc, kids, state, IF(state = 2, kid, NULL) AS kid, IF(state = 2, acc + 1 + kid_above, NULL) AS size
+    FROM kept LEFT JOIN over ON coalesce(parent, id) = v  -- a root meets nothing: null keys would all be one task's
+    UNION ALL
+    SELECT id, parent, w, above, acc, kids, 1, CAST(NULL AS STRING), acc + 1 FROM {live} WHERE kids = 0 AND parent IS NOT NULL"""
+
+#: One doubling: each node looks from the ancestor and the child it has reached to those that they have reached;
+#: where there is nothing left to reach, it meets itself, so that null keys are not all one task's.
+_FURTHER = """
+    SELECT s.id, IF(s.up IS NULL, NULL, a.up) AS up, IF(s.up IS NULL, s.depth, s.depth + a.depth) AS depth, IF(s.up IS NULL, s.root, a.root) AS root,
+        IF(s.kid IS NULL, NULL, k.kid) AS kid, IF(s.kid IS NULL, s.size, s.size + k.size) AS size, IF(s.kid IS NULL, s.on_loop, k.on_loop) AS on_loop
+    FROM {state} s JOIN {state} a ON coalesce(s.up, s.id) = a.id JOIN {state} k ON coalesce(s.kid, s.id) = k.id"""
+
+
+def _written(rows: DataFrame, open_rows: Column) -> tuple[DataFrame, int]:
+    """``rows`` materialised, and how many of them are open, counted by the same job."""
+    seen = Observation()
+    return materialise(rows.observe(seen, F.count_if(open_rows).alias("open"))), seen.get["open"]
 
 
 def contract(tree: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Rake leaves and splice unary chains until nothing but roots and loops is left.
+    """Rake leaves and splice unary chains until nothing but roots and loops is left; one job a round.
 
-    Returns the nodes removed in each round and the core. A live node carries
-    ``w`` (edges up to its present parent), ``above`` (nodes folded into that edge,
-    with all that hung on them) and ``acc`` (raked descendants).
+    Returns the tables of the rounds, in which the nodes removed have their state,
+    and the core. A live node carries ``w`` (edges up to its present parent),
+    ``above`` (nodes folded into that edge, with all that hung on them) and ``acc``
+    (raked descendants).
     """
-    first = tree.groupBy("parent").agg(F.count(F.lit(1)).cast("long").alias("kids")).where("parent IS NOT NULL").withColumnRenamed("parent", "k")
+    first = tree.groupBy("parent").agg(F.count(F.lit(1)).alias("kids")).where("parent IS NOT NULL").withColumnRenamed("parent", "k")
+    zero = F.lit(0).cast("long")
     live = tree.join(first, tree["id"] == first["k"], "left").select(
-        "id", "parent", F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("long").alias("w"), F.lit(0).cast("long").alias("above"),
-        F.lit(0).cast("long").alias("acc"), F.coalesce("kids", F.lit(0)).cast("long").alias("kids"),
+        "id", "parent", F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("long").alias("w"), zero.alias("above"), zero.alias("acc"), F.coalesce("kids", zero).alias("kids"),
     )
-    live = materialise(live)
-    removed: list[DataFrame] = []
+    unfinished = F.col("parent").isNotNull() & (F.col("parent") != F.col("id"))
+    live, left = _written(live, unfinished)
+    rounds: list[DataFrame] = []
     for rnd in range(MAX_ROUNDS):
-        leaf = F.col("kids") == 0
-        if live.where((leaf & F.col("parent").isNotNull()) | ((F.col("kids") > 0) & F.col("parent").isNotNull() & (F.col("parent") != F.col("id")))).isEmpty():
-            return removed, live
-        told = live.where("parent IS NOT NULL").groupBy("parent").agg(
-            F.sum(F.when(leaf, F.col("acc") + 1 + F.col("above")).otherwise(0)).alias("add"),
-            F.count(F.when(~leaf, 1)).alias("left"),
-            F.count(F.when(leaf, 1)).alias("raked"),
-            F.min(F.when(~leaf, F.struct("id", "above"))).alias("next"),
-        ).withColumnRenamed("parent", "k")
-        kept = live.where(~leaf | F.col("parent").isNull()).join(told, F.col("id") == F.col("k"), "left").select(
-            "id", "parent", "w", "above", (F.col("acc") + F.coalesce("add", F.lit(0))).alias("acc"),
-            F.coalesce("left", F.lit(0)).cast("long").alias("kids"), F.col("next.id").alias("kid"), F.col("next.above").alias("kid_above"), "raked",
-        )
-        kept = materialise(kept.withColumn("spliced", F.coalesce(_chosen(rnd), F.lit(False))))
-        gone = kept.where("spliced")
-        removed.append(
-            live.where(leaf & F.col("parent").isNotNull())
-            .select("id", "parent", "w", F.lit(None).cast("string").alias("kid"), (F.col("acc") + 1).alias("size"))
-            .unionByName(gone.select("id", "parent", "w", "kid", (F.col("acc") + 1 + F.col("kid_above")).alias("size")))
-        )
-        over = gone.select(F.col("id").alias("v"), F.col("parent").alias("vp"), F.col("w").alias("vw"), (F.col("acc") + 1 + F.col("above")).alias("vabove"))
-        live = kept.where(~F.col("spliced")).join(over, F.col("parent") == F.col("v"), "left").select(
-            "id", F.coalesce("vp", "parent").alias("parent"), (F.col("w") + F.coalesce("vw", F.lit(0))).alias("w"),
-            (F.col("above") + F.coalesce("vabove", F.lit(0))).alias("above"), "acc", "kids",
-        )
-        live = materialise(live)
+        if not left:
+            return rounds, live
+        done, left = _written(live.sparkSession.sql(_ROUND, live=live, rnd=rnd), (F.col("state") == LIVE) & unfinished)
+        rounds.append(done)
+        live = done.where(F.col("state") == LIVE).select("id", "parent", "w", "above", "acc", "kids")
     raise RuntimeError(f"tree contraction did not end in {MAX_ROUNDS} rounds")
 
 
@@ -102,34 +109,29 @@ def hierarchy(tree: DataFrame) -> DataFrame:
     Roots have depth 0. Nodes on a loop have an empty root, depth -1 and
     descendants -1; nodes below a loop have an empty root, depth -2 and their own
     count. Contraction takes a logarithmic number of rounds whatever the depth;
-    one hot parent only receives pre-aggregated sums. The rounds are then
-    reversed: a removed node takes root and depth from the parent it had, a
-    spliced one its size from the child it had. What can't be contracted is a
-    self-loop for each closed loop. An empty table gives an empty result.
+    one hot parent only receives pre-aggregated sums. What can't be contracted is a
+    self-loop for each closed loop. The recorded contractions are then reversed: a
+    removed node takes root and depth from the parent it had, a spliced one its
+    size from the child it had. These records are chains no longer than twice the
+    rounds, so following them doubles in reach each time and ends after a few
+    joins. An empty table gives an empty result.
     """
-    removed, core = contract(tree)
+    rounds, core = contract(tree)
     loop = F.col("parent").isNotNull()
-    done = core.select(
-        "id", F.when(loop, "").otherwise(F.col("id")).alias("root"), F.when(loop, -1).otherwise(0).cast("long").alias("depth"),
-        F.when(loop, None).otherwise(F.col("acc") + 1).alias("size"),
-    )
-    for part in reversed(removed):  # ``done`` shrinks backwards as the live set did, so rewriting it adds up to one pass
-        up = done.select(F.col("id").alias("parent"), F.col("root").alias("p_root"), F.col("depth").alias("p_depth"))
-        down = done.select(F.col("id").alias("kid"), F.col("depth").alias("k_depth"), F.col("size").alias("k_size"))
-        on_loop = F.coalesce(F.col("k_depth") == -1, F.lit(False))
-        back = part.join(up, "parent").join(down, "kid", "left").select(
-            "id",
-            F.when(on_loop | (F.col("p_depth") < 0), "").otherwise(F.col("p_root")).alias("root"),
-            F.when(on_loop, -1).when(F.col("p_depth") < 0, -2).otherwise(F.col("p_depth") + F.col("w")).alias("depth"),
-            F.when(~on_loop, F.col("size") + F.coalesce("k_size", F.lit(0))).alias("size"),
-        )
-        before, done = done, materialise(done.unionByName(back))
+    none = F.lit(None).cast("string")
+    ends = core.select("id", none.alias("up"), F.lit(0).cast("long").alias("depth"), F.when(~loop, F.col("id")).alias("root"), none.alias("kid"), (F.col("acc") + 1).alias("size"), loop.alias("on_loop"))
+    gone = [r.where(F.col("state") != LIVE).select("id", F.col("parent").alias("up"), F.col("w").alias("depth"), none.alias("root"), "kid", "size", F.lit(False).alias("on_loop")) for r in rounds]
+    pending = F.col("up").isNotNull() | F.col("kid").isNotNull()
+    state, left = _written(reduce(DataFrame.unionByName, [ends, *gone]), pending)
+    release(*rounds)
+    while left:
+        before = state
+        state, left = _written(state.sparkSession.sql(_FURTHER, state=state), pending)
         release(before)
-    if removed:
-        release(*removed)
-    return done.select(
-        F.col("id").alias("node_id"), F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"),
-        F.coalesce(F.col("size") - 1, F.lit(-1)).cast("int").alias("descendants"),
+    lost = F.col("on_loop") | F.col("root").isNull()
+    return state.select(
+        F.col("id").alias("node_id"), F.when(lost, "").otherwise(F.col("root")).alias("root_id"),
+        F.when(F.col("on_loop"), -1).when(lost, -2).otherwise(F.col("depth")).cast("int").alias("depth"), F.when(F.col("on_loop"), -1).otherwise(F.col("size") - 1).cast("int").alias("descendants"),
     )
 
 
