@@ -322,6 +322,11 @@ class Block:
         return np.bincount(cell, weights=np.repeat(value, many) * self.value[at], minlength=rows * self.size).reshape(rows, self.size)
 
 
+def _tasks(rows: DataFrame, blocks: int, parts: int):
+    """Rows grouped by pair of blocks, in as many partitions: a pair costs time by its length squared, not by its bytes."""
+    return rows.repartition(blocks * parts, "part", "block").groupBy("part", "block")
+
+
 _NEAR = "key string, form long, cosine double"
 
 
@@ -347,7 +352,7 @@ def near_forms(keys: DataFrame, forms: DataFrame, weight: dict[str, float], bloc
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     left = keys.select("key", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), every(blocks, "block"))
     right = forms.select("form", "written", F.pmod(F.xxhash64("form"), F.lit(blocks)).cast("int").alias("block"), every(parts, "part"))
-    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(run, _NEAR)
+    found = _tasks(left, blocks, parts).cogroup(_tasks(right, blocks, parts)).applyInArrow(run, _NEAR)
     if blocks == 1:
         return found
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "form"))), 1, TOP)
@@ -433,7 +438,7 @@ def linked(near: DataFrame, forms: DataFrame, grown: DataFrame, weight: dict[str
     left = near.select("key", "form", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int").alias("part"), block)
     left = left.groupBy("part", "block", "key").agg(F.collect_list("form").alias("near"))
     right = forms.join(grown, "form").select("form", "info", "grams", "sums", "members", block, every)
-    return left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(run, _MEANT)
+    return _tasks(left, blocks, parts).cogroup(_tasks(right, blocks, parts)).applyInArrow(run, _MEANT)
 
 
 def names_of(mentions: DataFrame, candidates: DataFrame) -> DataFrame:
