@@ -38,8 +38,21 @@ INJECTION_MARKERS = (
     r"eres\s+ahora\s+un\s",
 )
 
-#: Accented Latin letters and their bases, for the built-in folding.
-ACCENTED, FOLDED = "áàâãäåéèêëíìîïóòôõöúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
+
+
+def _bases() -> dict[str, str]:
+    """Letters that decompose into one base and combining marks (U+0300 to U+036F), and the bases, by the rule of NFD."""
+    out = {}
+    for code in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and all("\u0300" <= m <= "\u036f" for m in marks):
+            out[chr(code)] = base
+    return out
+
+
+BASES = _bases()
+#: Characters whose decomposition ``BASES`` and dropping the marks give: Latin, Greek, Cyrillic, punctuation and signs.
+_SIMPLE = r"^[\x00-\u052f\u1e00-\u20cf\u2100-\u2125\u2127-\u2129\u212c-\u2bff\u3000-\u3029\u4e00-\u9fff]*$"
 
 
 def collapse(text: Column) -> Column:
@@ -77,14 +90,17 @@ def comparable(text: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def comparable_nfkc(text: pd.Series) -> pd.Series:
-    """NFKC, white space collapsed, trimmed, lower case; null stays null."""
-    return text.map(lambda s: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", s)).strip().lower(), na_action="ignore")
+def _unmarked(text: pd.Series) -> pd.Series:
+    return text.map(lambda s: re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", s)), na_action="ignore")
 
 
 def fold_accents(text: Column) -> Column:
-    """F2 for Latin letters: lower case, accents and loose combining marks dropped."""
-    return F.translate(F.regexp_replace(F.lower(text), "[\\u0300-\\u036f]", ""), ACCENTED, FOLDED)
+    """NFD without the marks U+0300 to U+036F, in lower case. Not for use inside a lambda.
+
+    Scripts that the table of ``BASES`` decides stay in the JVM, others go to Python.
+    """
+    simple = F.translate(F.regexp_replace(text, "[\\u0300-\\u036f]", ""), "".join(BASES), "".join(BASES.values()))
+    return F.lower(F.coalesce(_unmarked(F.when(~text.rlike(_SIMPLE), text)), simple))
 
 
 def content_tokens(text: Column) -> Column:
@@ -150,7 +166,7 @@ def semantic_negation(text: Column) -> Column:
 
 def lexical_terms(text: Column) -> Column:
     """distinct letter-led words of at least three letters that are no stop words."""
-    words = F.regexp_extract_all(fold_accents(text), F.lit(r"(\p{L}[\p{L}\p{N}]*)"), 1)
+    words = F.regexp_extract_all(fold_accents(nfkc(text)), F.lit(r"(\p{L}[\p{L}\p{N}]*)"), 1)
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(GROUNDING_STOP_WORDS)))
 
 
@@ -164,40 +180,39 @@ def visible_markup(text: Column) -> Column:
     return collapse(x)
 
 
-_TAG = re.compile(r"\s*(/?)\s*([a-z][a-z0-9-]*)", re.I)
+#: What markup is made of: a comment, a tag, an opening that never closes, text.
+_PIECES = re.compile(r"(?P<comment><!--.*?(?:-->|\Z))|<(?P<tag>[^>]*)>|(?P<rest><.*)|(?P<text>[^<]+)", re.S)
+_TAG_NAME = re.compile(r"\s*(/?)\s*([a-z][a-z0-9-]*)", re.I)
 _ENTITY = re.compile(r"&(nbsp|amp|quot|#160|#38|#34);", re.I)
 _SIGNS = {"nbsp": " ", "#160": " ", "amp": "&", "#38": "&", "quot": '"', "#34": '"'}
 _HIDDEN = frozenset(("script", "style", "template", "noscript"))
 
 
+def _evened_text(text: str) -> str:
+    return re.sub(r"\s+", " ", _ENTITY.sub(lambda m: _SIGNS[m[1].lower()], text)).strip()
+
+
 def scan_visible(source: str) -> str:
-    """F21 for any markup: an open tag ends the text, hidden elements are skipped to their closing tag."""
-    out, at, hidden = [], 0, None
-    while at < len(source):
-        nxt = source.find("<", at)
-        if nxt != at:
-            end = len(source) if nxt < 0 else nxt
-            if hidden is None:
-                out.append(source[at:end])
-            at = end
+    """F21 for any markup: a tag that never closes ends the text; a hidden element reaches to its closing tag."""
+    shown: list[str] = []
+    within: str | None = None
+    for m in _PIECES.finditer(source):
+        kind = m.lastgroup
+        if kind == "rest":
+            break
+        if kind == "text":
+            shown += [m[0]] if within is None else []
+            continue
+        shown.append(" ")
+        named = _TAG_NAME.match(m["tag"]) if kind == "tag" else None
+        if named is None:
             continue
-        if source.startswith("<!--", at):
-            end = source.find("-->", at + 4)
-            at = len(source) if end < 0 else end + 3
-        else:
-            end = source.find(">", at + 1)
-            if end < 0:
-                break
-            tag = source[at + 1 : end]
-            m = _TAG.match(tag)
-            name = m[2].lower() if m else None
-            if m and m[1] and name == hidden:
-                hidden = None
-            elif hidden is None and name in _HIDDEN and not (m and m[1]) and not tag.rstrip().endswith("/"):
-                hidden = name
-            at = end + 1
-        out.append(" ")
-    return re.sub(r"\s+", " ", _ENTITY.sub(lambda m: _SIGNS[m[1].lower()], "".join(out))).strip()
+        closes, name = bool(named[1]), named[2].lower()
+        if within is not None:
+            within = None if closes and name == within else within
+        elif name in _HIDDEN and not closes and not m["tag"].rstrip().endswith("/"):
+            within = name
+    return _evened_text("".join(shown))
 
 
 @F.pandas_udf(T.StringType())
@@ -211,7 +226,7 @@ def visible_text(source: pd.Series, content_type: pd.Series) -> pd.Series:
         if "html" in kind or "xml" in kind:
             return scan_visible(text)
         if kind.startswith("text/") or "json" in kind:
-            return re.sub(r"\s+", " ", _ENTITY.sub(lambda m: _SIGNS[m[1].lower()], text)).strip()
+            return _evened_text(text)
         return ""
 
     return pd.Series([one(t, k) for t, k in zip(source, content_type)])

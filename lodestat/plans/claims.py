@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -244,8 +246,25 @@ def _at(template: str, x: str) -> str:
 
 
 _WS = r"[\s\x{00A0}\x{0085}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-_COMP = "lower(trim(regexp_replace({0}, '" + _WS + "', ' ', 'g')))"
-_FOLD = f"translate(regexp_replace(lower({{0}}), '[\\x{{0300}}-\\x{{036f}}]', '', 'g'), '{X.ACCENTED}', '{X.FOLDED}')"
+#: Characters that have a compatibility form, as far as texts of this kind hold them: signs, digits above and below, fractions, ligatures, wide letters, squared words.
+_COMPAT = "".join(map(chr, (*range(0xA8, 0xBF), 0x2DC, *range(0x2000, 0x200B), *range(0x2024, 0x2027), *range(0x202F, 0x2038), 0x2057, 0x205F, *range(0x2070, 0x209D), *range(0x2100, 0x2126), *range(0x2150, 0x2180), *range(0x3000, 0x303B), *range(0x3131, 0x318F), *range(0x3200, 0x3400), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F))))
+_FORMS = {c: f for c in _COMPAT if (f := unicodedata.normalize("NFKC", c)) != c}
+_ONE = {c: f for c, f in _FORMS.items() if len(f) == 1 and f != "'"}
+
+
+def _nfkc(x: str) -> str:
+    """NFKC for the characters of ``_COMPAT``; DuckDB has the canonical composition alone."""
+    out = f"translate({x}, '{''.join(_ONE)}', '{''.join(_ONE.values())}')"
+    for c, f in _FORMS.items():
+        if c not in _ONE and c in _LONG:
+            out = f"replace({out}, '{c}', '{f}')"
+    return f"nfc_normalize({out})"
+
+
+#: Those of several characters that the tables hold.
+_LONG = "¨½¼¾˜‥…″‴‶‷℀℅№™㈀㈠㈬㈮㈰㈱㈲㈳㈴㈵㈶㈷㈸㈹㈽㌀㌠㌬㌮㌰㌱㌲㌳㌴㌵㌶㌷㌸㌹ﬀﬁﬂﬃﬄ"
+_COMP = "lower(trim(regexp_replace(" + _nfkc("{0}") + ", '" + _WS + "', ' ', 'g')))"
+_FOLD = "lower(strip_accents({0}))"
 _STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
 _TOK = f"list_filter(string_split(trim(regexp_replace({_FOLD}, '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) > 2 AND w NOT IN ({_STOPS}))"
 _GROUNDING_STOPS = ", ".join(f"'{w}'" for w in X.GROUNDING_STOP_WORDS)
@@ -296,7 +315,7 @@ SQL = {
     "semantic_negation": f"""WITH x AS (SELECT candidate_id, {_at(_FOLD, 'assertion')} AS t FROM candidate WHERE assertion IS NOT NULL)
         SELECT candidate_id, regexp_matches(t, '\\b(nunca|jamas|never|without)\\b') OR regexp_matches(regexp_replace(t, '\\bno\\s+(obstante|solo|solamente)\\b', ' ', 'g'), '\\bno\\b')
           OR regexp_matches(regexp_replace(t, '\\bsin\\s+embargo\\b', ' ', 'g'), '\\bsin\\b') OR regexp_matches(regexp_replace(t, '\\bnot\\s+only\\b', ' ', 'g'), '\\bnot\\b') AS negated FROM x""",
-    "lexical_terms": f"""WITH x AS (SELECT candidate_id, list_distinct(list_filter(regexp_extract_all({_at(_FOLD, 'assertion')}, '\\p{{L}}[\\p{{L}}\\p{{N}}]*'), lambda w: length(w) >= 3 AND w NOT IN ({_GROUNDING_STOPS}))) AS t FROM candidate WHERE assertion IS NOT NULL)
+    "lexical_terms": f"""WITH x AS (SELECT candidate_id, list_distinct(list_filter(regexp_extract_all({_at(_FOLD, _nfkc('assertion'))}, '\\p{{L}}[\\p{{L}}\\p{{N}}]*'), lambda w: length(w) >= 3 AND w NOT IN ({_GROUNDING_STOPS}))) AS t FROM candidate WHERE assertion IS NOT NULL)
         SELECT candidate_id, CAST(len(t) AS INTEGER) AS n, array_to_string(list_sort(t), ' ') AS terms FROM x""",
     "visible_markup": f"SELECT doc_id, md5({_at(_COMP_KEEP, _VISIBLE)}) AS md5 FROM documents WHERE text IS NOT NULL",
     "unsafe_url": r"""WITH x AS (SELECT candidate_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS s, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)', 1)) AS h FROM candidate)

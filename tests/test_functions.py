@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ def values(spark, column, rows, schema="x string, y string"):
 def test_text_columns(spark):
     x = F.col("x")
     assert values(spark, X.comparable(x), [(" Dato  VERIFICADO ", ""), ("", ""), (None, "")]) == ["dato verificado", "", None]
-    assert values(spark, X.comparable_nfkc("x"), [("ﬁn  de", ""), (None, "")]) == ["fin de", None]
+    assert values(spark, X.comparable(F.col("x")), [("ﬁn  de", ""), (None, "")]) == ["fin de", None]
+    assert values(spark, X.fold_accents(F.col("x")), [("Škoda Łódź ÑANDÚ", ""), ("Ώρα Ёлка が각", ""), (None, "")]) == ["skoda łodz nandu", "ωρα елка " + unicodedata.normalize("NFD", "が각"), None]
     assert values(spark, X.content_tokens(x), [("el banco de la república", ""), ("el la de y por", ""), ("", "")]) == [["banco", "republica"], [], []]
     assert values(spark, F.size(X.shingles(X.content_tokens(x))), [("uno dos tres cuatro cinco seis siete", ""), ("banco central", ""), ("", "")]) == [3, 1, 0]
     assert values(spark, X.entity_name(x), [("Banco Mercantil Santa Cruz S.A.", ""), ("Y.P.F.B.", ""), ("Seguros Ñandú Ltda.", "")]) == ["banco mercantil santa cruz", "ypfb", "seguros nandu"]
