@@ -54,28 +54,38 @@ def decode_body(body: bytes, content_type: str | None) -> tuple[str, str, str, i
     return text, encoding, by, text.count("�")
 
 
+def _is_json(body: bytes) -> bool:
+    try:
+        json.loads(body)
+    except ValueError:
+        return False
+    return True
+
+
+_TEXTUAL = re.compile(r"^text/|application/(?:json|xml|xhtml\+xml)")
+_MARKUP = re.compile(r"\A<!doctype\s+html|\A<html\b|<head\b|<body\b", re.I)
+
+
+def _binary(body: bytes, assumed: str) -> bool:
+    sample = body[:4096]
+    return bool(_TEXTUAL.search(assumed)) and sum(b < 32 and b not in (9, 10, 12, 13) for b in sample) > len(sample) / 100
+
+
+#: What a body looks like, the first that holds: (media type, test of body, declared type and first characters).
+_LOOKS = (
+    ("application/pdf", lambda body, assumed, start: body.startswith(b"%PDF-")),
+    ("application/octet-stream", lambda body, assumed, start: _binary(body, assumed)),
+    ("text/html", lambda body, assumed, start: _MARKUP.search(start) is not None),
+    ("application/json", lambda body, assumed, start: start[:1] in ("{", "[") and _is_json(body)),
+)
+
+
 def sniff(body: bytes, declared: str | None) -> tuple[str, str]:
     """(effective media type, MATCHED, SNIFFED_OVERRIDE or UNDECLARED)."""
-    kind = (declared or "").split(";")[0].strip().lower() or None
-    assumed = kind or "text/plain"
-    sample = body[:4096]
-    textual = assumed.startswith("text/") or any(t in assumed for t in ("application/json", "application/xml", "application/xhtml+xml"))
-    prefix = body[:1024].decode("utf-8", "replace").lstrip()
-    if body.startswith(b"%PDF-"):
-        real = "application/pdf"
-    elif textual and sum(b < 32 and b not in (9, 10, 12, 13) for b in sample) > len(sample) / 100:
-        real = "application/octet-stream"
-    elif re.match(r"<!doctype\s+html|<html\b|<head\b|<body\b", prefix, re.I):
-        real = "text/html"
-    else:
-        real = assumed
-        if prefix[:1] in ("{", "["):
-            try:
-                json.loads(body)
-                real = "application/json"
-            except ValueError:
-                pass
-    return real, "UNDECLARED" if kind is None else "MATCHED" if kind == real else "SNIFFED_OVERRIDE"
+    kind = (declared or "").split(";")[0].strip().lower()
+    start = body[:1024].decode("utf-8", "replace").lstrip()
+    real = next((media for media, looks in _LOOKS if looks(body, kind or "text/plain", start)), kind or "text/plain")
+    return real, "UNDECLARED" if not kind else "MATCHED" if kind == real else "SNIFFED_OVERRIDE"
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("encoding", T.StringType()), T.StructField("selected_by", T.StringType()), T.StructField("replaced", T.IntegerType())]))
@@ -146,11 +156,17 @@ def pdf_date(text: Column) -> Column:
 SPANISH_MONTHS = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split()
 
 
-def spanish_date(text: Column) -> Column:
-    """the first long Spanish date of a text, such as 5 de marzo de 2024 or 5 de marzo 2024."""
-    part = lambda i: F.regexp_extract(F.lower(text), r"(\d{1,2})\s+de\s+(\p{L}+)\s+(?:de\s+)?(\d{4})", i)
-    month = F.array_position(F.array(*map(F.lit, SPANISH_MONTHS)), F.regexp_replace(part(2), "^setiembre$", "septiembre"))
-    return F.try_to_date(F.concat_ws("-", part(3), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(1), 2, "0")), "yyyy-MM-dd")
+def spanish_dates(text: Column) -> Column:
+    """the valid long Spanish dates of a text, in order, such as 5 de marzo de 2024 or 5 de marzo 2024."""
+    pattern = r"(\d{1,2})\s+de\s+(\p{L}+)\s+(?:de\s+)?(\d{4})"
+    names = F.array(*map(F.lit, SPANISH_MONTHS))
+
+    def day(written: Column) -> Column:
+        part = lambda i: F.regexp_extract(written, pattern, i)
+        month = F.array_position(names, F.regexp_replace(part(2), "^setiembre$", "septiembre"))
+        return F.try_to_date(F.concat_ws("-", part(3), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(1), 2, "0")), "yyyy-MM-dd")
+
+    return F.filter(F.transform(F.regexp_extract_all(F.lower(text), F.lit(pattern), 0), day), lambda x: x.isNotNull())
 
 
 def table_reading(html: Column, labels: list[str]) -> Column:

@@ -125,6 +125,10 @@ def page_metadata(html: str | None) -> dict[str, list[str]]:
     }
 
 
+#: Ports that need not be written.
+_USUAL = {"http": 80, "https": 443}
+
+
 def canonical_url(candidates: list[str], base: str) -> str | None:
     """the first canonical URL on the page's own host (www aside), without credentials, downgrade or change of port."""
     here = urlsplit(base)
@@ -132,11 +136,11 @@ def canonical_url(candidates: list[str], base: str) -> str | None:
         try:
             url = urljoin(base, value)
             there = urlsplit(url)
-            port = there.port
+            port = there.port or _USUAL.get(there.scheme)
         except ValueError:
             continue
         same = (there.hostname or "").removeprefix("www.") == (here.hostname or "").removeprefix("www.")
-        if there.scheme in ("http", "https") and same and there.username is None and there.password is None and not (here.scheme == "https" and there.scheme != "https") and port == here.port:
+        if there.scheme in ("http", "https") and same and there.username is None and there.password is None and not (here.scheme == "https" and there.scheme != "https") and (port == (here.port or _USUAL.get(here.scheme)) or there.port is None and here.port is None):
             return url
     return None
 

@@ -135,12 +135,33 @@ def entity_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"\.", ""), r"\s+", " "))
 
 
+#: Starts of an excerpt that are listed, by the reference's rule.
+START_CAP = 20
+
+
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 units."""
+    return F.floor(F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
 def excerpt_location(source: Column, excerpt: Column) -> Column:
-    """``struct<start, end, length, count>`` of an excerpt in comparable text (code points); null if absent."""
-    hay, needle = comparable(source), comparable(excerpt)
-    at = F.instr(hay, needle) - 1
-    count = F.floor((F.length(hay) - F.length(F.replace(hay, needle, F.lit("")))) / F.length(needle)).cast("int")
-    return F.when((F.length(needle) > 0) & (at >= 0), F.struct(at.alias("start"), (at + F.length(needle)).alias("end"), F.length(hay).alias("length"), count.alias("count")))
+    """``struct<start, end, length, count, starts, truncated>`` of an excerpt in comparable text, in UTF-16 units; null if absent.
+
+    ``starts`` holds the first ``START_CAP`` of the occurrences, which do not overlap; ``count`` counts them all.
+    """
+    forms = F.array(F.struct(comparable(source).alias("hay"), comparable(excerpt).alias("needle")))  # evaluated once; no UDF may stand in a lambda
+
+    def located(f: Column) -> Column:
+        hay, needle = f["hay"], f["needle"]
+        parts = F.split(hay, F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+        lengths = F.transform(F.slice(parts, 1, F.size(parts) - 1), utf16_length)
+        width = utf16_length(needle)
+        starts = F.transform(lengths, lambda _, i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda acc, n: acc + n) + i * width)
+        first = F.get(starts, F.lit(0))
+        place = F.struct(first.alias("start"), (first + width).alias("end"), utf16_length(hay).alias("length"), F.size(starts).alias("count"), F.slice(starts, 1, START_CAP).alias("starts"), (F.size(starts) > START_CAP).alias("truncated"))
+        return F.when((F.length(needle) > 0) & F.contains(hay, needle), place)
+
+    return F.get(F.transform(forms, located), F.lit(0))
 
 
 def grounded(names: Column, source: Column) -> Column:

@@ -22,10 +22,11 @@ def rank(level: Column, levels: tuple[str, ...]) -> Column:
     return F.nullif(F.array_position(F.array(*map(F.lit, levels)), level), F.lit(0)) - 1
 
 
-def content_hash(claim_type: Column, assertion: Column, event_date: Column, *subject: Column) -> Column:
-    """What a claim asserts, whoever reported it: SHA-256 over type, evened assertion, date and subjects."""
-    part = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    return F.sha2(F.concat_ws("|", part(claim_type), F.coalesce(F.lower(collapse(assertion)), F.lit("")), part(event_date), *map(part, subject)), 256)
+def content_hash(claim_type: Column, assertion: Column, event_date: Column, domain: Column | None = None, place: Column | None = None, entity: Column | None = None) -> Column:
+    """What a claim asserts, whoever reported it: SHA-256 of the canonical JSON of type, evened assertion, date and the three subjects."""
+    none = F.lit(None).cast("string")
+    parts = {"assertion": F.lower(collapse(assertion)), "claimType": claim_type, "economicEntityId": entity, "eventDate": event_date.cast("string"), "geographicUnitId": place, "statisticalDomainId": domain}
+    return F.sha2(F.to_json(F.struct(*((none if c is None else c).alias(n) for n, c in parts.items())), {"ignoreNullFields": "false"}), 256)
 
 
 def first_of(rows: DataFrame, group: str, key: str) -> DataFrame:

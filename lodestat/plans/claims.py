@@ -76,9 +76,10 @@ def mention_resolution(spark, d):
 
 
 def excerpt_location(spark, d):
-    rows = cand(spark, d).where("excerpt IS NOT NULL AND assertion IS NOT NULL")
-    loc = rows.select("candidate_id", X.excerpt_location(F.concat_ws(" ", "title", "excerpt", "assertion", "excerpt"), F.col("excerpt")).alias("l"))
-    return loc.where("l IS NOT NULL").select("candidate_id", "l.start", "l.end", "l.length", "l.count")
+    """where the first name of a claim stands in its own text, if it does."""
+    rows = cand(spark, d).where("entity_mentions IS NOT NULL").select("candidate_id", F.concat_ws(" ", "title", "assertion", "excerpt").alias("source"), F.try_element_at("entity_mentions", F.lit(1)).alias("name"))
+    loc = rows.select("candidate_id", X.excerpt_location(F.col("source"), F.col("name")).alias("l")).where("l IS NOT NULL")
+    return loc.select("candidate_id", "l.start", "l.end", "l.length", "l.count", F.array_join(F.transform("l.starts", lambda x: x.cast("string")), ",").alias("starts"), "l.truncated")
 
 
 def grounded_entities(spark, d):
@@ -125,7 +126,7 @@ def unsafe_url(spark, d):
 
 
 def evidence_key(spark, d):
-    return cand(spark, d).where("url IS NOT NULL AND excerpt IS NOT NULL").select("candidate_id", F.md5(F.concat(U.tracking_free(F.concat("url", F.lit("?utm_source=x&b=2&a=1#top"))), F.lit("\n"), X.comparable(F.col("excerpt")))).alias("key"))
+    return cand(spark, d).where("url IS NOT NULL AND excerpt IS NOT NULL").select("candidate_id", F.md5(F.concat(U.tracking_free(F.concat("url", F.lit("?utm_source="), F.coalesce("lang", F.lit("")), F.lit("&t="), F.coalesce("claim_type", F.lit("")), F.lit("&c="), F.coalesce("lang", F.lit("")), F.lit("&gclid=1&b#top"))), F.lit("\n"), X.comparable(F.col("excerpt")))).alias("key"))
 
 
 def body_length(spark, d):
@@ -199,13 +200,6 @@ def local_dates(spark, d):
     return r.select("observation_revision_id", there.alias("local_day"), (there == F.to_date("capture_date")).alias("same_day"))
 
 
-def publication_window(spark, d):
-    """P20: events inside, outside or without a window."""
-    at = F.col("event_date")
-    issue = F.when(at.isNull(), "MISSING_PUBLICATION_DATE").when((at < "2022-01-01") | (at > "2023-12-31"), "OUTSIDE_PUBLICATION_WINDOW").otherwise("INSIDE")
-    return cand(spark, d).select("candidate_id", issue.alias("issue"))
-
-
 def search_ilike(spark, d):
     rows = table(spark, d, "economic_entity").where(F.col("canonical_name").ilike("%banco%") | F.col("short_name").ilike("%b%"))
     return rows.orderBy("canonical_name", "economic_entity_id").limit(200).select("economic_entity_id", "canonical_name")
@@ -237,7 +231,7 @@ def snapshot_hash(spark, d):
 _NAMES = (
     "comparable_text content_tokens shingle_counts cluster_fingerprint story_clusters story_similarity entity_normalised mention_resolution excerpt_location grounded_entities injection_markers semantic_negation "
     "visible_markup visible_text lexical_terms lexical_grounding number_occurrences ungrounded_numbers unsafe_url evidence_key body_length charset_selection claim_content_hash claim_dedup conflicting_claims "
-    "corroboration_summary corroboration_consolidated consolidation_capped confidence_calibration claim_routing retry_decisions outcome_tally category_coverage local_dates publication_window search_ilike optional_filter claim_search snapshot_hash"
+    "corroboration_summary corroboration_consolidated consolidation_capped confidence_calibration claim_routing retry_decisions outcome_tally category_coverage local_dates search_ilike optional_filter claim_search snapshot_hash"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -279,7 +273,12 @@ _SH = "CASE WHEN len({0}) = 0 THEN [] WHEN len({0}) <= 5 THEN [array_to_string({
 _STORY = "concat_ws(' ', title, assertion, excerpt)"
 _CS = f"WITH t AS (SELECT candidate_id, event_date, {_at(_TOK, _STORY)} AS t FROM candidate), s AS (SELECT candidate_id, event_date, {_at(_SH, 't')} AS s FROM t)"
 _FP = "sha256(array_to_string(list_sort(s)[1:16], '|'))"
-_HASH = f"sha256(concat_ws('|', coalesce(claim_type, 'null'), coalesce({_at(_COMP, 'assertion')}, ''), coalesce(CAST(event_date AS VARCHAR), 'null'), coalesce(statistical_domain_id, 'null')))"
+_HASH = f"sha256(CAST(json_object('assertion', lower({_at(_COMP_KEEP, 'assertion')}), 'claimType', claim_type, 'economicEntityId', NULL, 'eventDate', CAST(event_date AS VARCHAR), 'geographicUnitId', NULL, 'statisticalDomainId', statistical_domain_id) AS VARCHAR))"
+
+
+def _units(x: str) -> str:
+    """Length in UTF-16 units."""
+    return f"(length({x}) + length(regexp_replace({x}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
 
 
 def _entity(x: str) -> str:
@@ -309,8 +308,13 @@ SQL = {
         b AS (SELECT a, count(DISTINCT economic_entity_id) AS n, min(economic_entity_id) AS id FROM k WHERE a <> '' GROUP BY 1), m AS (SELECT DISTINCT mention_id, mention_text FROM resolved_mention)
         SELECT mention_id, coalesce(e.id, u.id) AS entity, CASE WHEN e.id IS NOT NULL THEN 'EXACT_ALIAS' WHEN u.id IS NOT NULL THEN 'NORMALIZED_ALIAS' ELSE 'UNRESOLVED' END AS how, CAST(CASE WHEN e.id IS NOT NULL THEN 1.0 WHEN u.id IS NOT NULL THEN 0.9 END AS DOUBLE) AS certainty
         FROM m LEFT JOIN b e ON e.a = m.mention_text LEFT JOIN b u ON u.a = {_entity('m.mention_text')} AND u.n = 1""",
-    "excerpt_location": f"""WITH x AS (SELECT candidate_id, {_at(_COMP, "concat_ws(' ', title, excerpt, assertion, excerpt)")} AS h, {_at(_COMP, 'excerpt')} AS n FROM candidate WHERE excerpt IS NOT NULL AND assertion IS NOT NULL)
-        SELECT candidate_id, CAST(instr(h, n) - 1 AS INTEGER) AS start, CAST(instr(h, n) - 1 + length(n) AS INTEGER) AS "end", CAST(length(h) AS INTEGER) AS length, CAST((length(h) - length(replace(h, n, ''))) // length(n) AS INTEGER) AS count FROM x WHERE length(n) > 0 AND instr(h, n) > 0""",
+    "excerpt_location": f"""WITH x AS (SELECT candidate_id, {_at(_COMP, "concat_ws(' ', title, assertion, excerpt)")} AS h, {_at(_COMP, 'entity_mentions[1]')} AS n FROM candidate WHERE entity_mentions IS NOT NULL),
+        p AS (SELECT candidate_id, string_split(h, n) AS s, {_units('n')} AS w, {_units('h')} AS l FROM x WHERE length(n) > 0 AND instr(h, n) > 0),
+        q AS (SELECT *, list_transform(range(1, len(s)), lambda i: CAST(list_sum(list_transform(s[1:i], lambda y: {_units('y')})) + (i - 1) * w AS BIGINT)) AS starts FROM p)
+        SELECT candidate_id, CAST(starts[1] AS INTEGER) AS start, CAST(starts[1] + w AS INTEGER) AS "end", CAST(l AS INTEGER) AS length, CAST(len(starts) AS INTEGER) AS count, array_to_string(starts[1:20], ',') AS starts, len(starts) > 20 AS truncated FROM q""",
+    "grounded_entities": f"""WITH x AS (SELECT candidate_id, ' ' || {_at(_COMP, "concat_ws(' ', title, assertion, excerpt)")} || ' ' AS h, list_filter(entity_mentions, lambda m: m IS NOT NULL AND m <> '') AS e FROM candidate WHERE entity_mentions IS NOT NULL),
+        m AS (SELECT candidate_id, h, unnest(e) AS m FROM x), c AS (SELECT candidate_id, count(*) FILTER (regexp_matches(h, '[^\\p{{L}}\\p{{N}}]' || regexp_escape({_at(_COMP, 'm')}) || '[^\\p{{L}}\\p{{N}}]')) AS n FROM m GROUP BY 1)
+        SELECT candidate_id, CAST(coalesce(n, 0) AS INTEGER) AS grounded FROM x LEFT JOIN c USING (candidate_id)""",
     "injection_markers": "SELECT doc_id, concat_ws(chr(10), " + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){m}') THEN '{m}' END" for m in X.INJECTION_MARKERS) + ") AS markers FROM documents WHERE text IS NOT NULL AND markers <> ''",
     "semantic_negation": f"""WITH x AS (SELECT candidate_id, {_at(_FOLD, 'assertion')} AS t FROM candidate WHERE assertion IS NOT NULL)
         SELECT candidate_id, regexp_matches(t, '\\b(nunca|jamas|never|without)\\b') OR regexp_matches(regexp_replace(t, '\\bno\\s+(obstante|solo|solamente)\\b', ' ', 'g'), '\\bno\\b')
@@ -321,7 +325,8 @@ SQL = {
     "unsafe_url": r"""WITH x AS (SELECT candidate_id, url, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS s, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)', 1)) AS h FROM candidate)
         SELECT candidate_id, CASE WHEN url IS NULL OR s = '' OR regexp_matches(url, '\s') THEN 'INVALID' WHEN s NOT IN ('http', 'https') THEN 'PROTOCOL' WHEN h = '' OR h IN ('localhost', 'localhost.localdomain', 'metadata.google.internal', 'instance-data') THEN 'LOOPBACK'
           WHEN regexp_matches(h, '^(10|127|0)\.\d+\.\d+\.\d+$|^192\.168\.\d+\.\d+$|^169\.254\.\d+\.\d+$') THEN 'PRIVATE' WHEN NOT contains(h, '.') THEN 'UNQUALIFIED' ELSE 'SAFE' END AS reason FROM x""",
-    "evidence_key": f"SELECT candidate_id, md5(concat(CASE WHEN contains(url, '?') THEN NULL ELSE split_part(url, '#', 1) END, '?a=1&b=2', chr(10), {_at(_COMP, 'excerpt')})) AS key FROM candidate WHERE url IS NOT NULL AND excerpt IS NOT NULL",
+    "evidence_key": f"""SELECT candidate_id, md5(concat(split_part(split_part(url, '#', 1), '?', 1), '?', array_to_string(list_sort(list_filter(string_split(split_part(CASE WHEN contains(url, '?') THEN substr(url, instr(url, '?') + 1) || '&' ELSE '' END
+        || concat('t=', coalesce(claim_type, ''), '&c=', coalesce(lang, ''), '&b'), '#', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]+|fbclid|gclid)(=|$)'))), '&'), chr(10), {_at(_COMP, 'excerpt')})) AS key FROM candidate WHERE url IS NOT NULL AND excerpt IS NOT NULL""",
     "body_length": """WITH r AS (SELECT DISTINCT response_id, declared_content_length AS l, text FROM source_response)
         SELECT CASE WHEN l IS NULL OR text IS NULL THEN 'UNAVAILABLE' WHEN NOT regexp_matches(l, '^[0-9]+$') THEN 'INVALID' WHEN TRY_CAST(l AS BIGINT) = octet_length(encode(text)) THEN 'MATCHED' ELSE 'CONTRADICTED' END AS outcome, count(*) AS n FROM r GROUP BY 1""",
     "charset_selection": """WITH a AS (SELECT * FROM (VALUES ('utf-8', 'utf-8'), ('utf8', 'utf-8'), ('windows-1252', 'windows-1252'), ('cp1252', 'windows-1252'), ('iso-8859-1', 'windows-1252'), ('latin1', 'windows-1252'), ('utf-16', 'utf-16le'), ('utf-16le', 'utf-16le'), ('utf-16be', 'utf-16be')) AS t(n, e)),
@@ -351,7 +356,6 @@ SQL = {
     "category_coverage": """SELECT event_date, array_to_string(list_filter(['FX_OFFICIAL', 'UFV', 'SOVEREIGN_BONDS'], lambda x: NOT list_contains(have, x)), ',') AS missing
         FROM (SELECT event_date, coalesce(list(DISTINCT data_category) FILTER (data_category IS NOT NULL), []) AS have FROM candidate WHERE event_date IS NOT NULL GROUP BY 1) WHERE missing <> ''""",
     "local_dates": "SELECT DISTINCT observation_revision_id, CAST(timezone('America/La_Paz', capture_date) AS DATE) AS local_day, CAST(timezone('America/La_Paz', capture_date) AS DATE) = CAST(timezone('UTC', capture_date) AS DATE) AS same_day FROM observation_revision WHERE capture_date IS NOT NULL",
-    "publication_window": "SELECT candidate_id, CASE WHEN event_date IS NULL THEN 'MISSING_PUBLICATION_DATE' WHEN event_date < DATE '2022-01-01' OR event_date > DATE '2023-12-31' THEN 'OUTSIDE_PUBLICATION_WINDOW' ELSE 'INSIDE' END AS issue FROM candidate",
     "search_ilike": "SELECT economic_entity_id, canonical_name FROM economic_entity WHERE canonical_name ILIKE '%banco%' OR short_name ILIKE '%b%' ORDER BY canonical_name, economic_entity_id LIMIT 200",
     "optional_filter": "SELECT economic_entity_id, entity_type FROM economic_entity WHERE entity_type = 'PUBLISHER'",
     "claim_search": f"""WITH c AS (SELECT *, {_HASH} AS hash FROM candidate), p AS (SELECT * FROM c ORDER BY event_date DESC NULLS LAST, candidate_id LIMIT 100)

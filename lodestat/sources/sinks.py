@@ -14,14 +14,30 @@ def read_json_records(spark: SparkSession, path: str, schema: StructType) -> Dat
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def bounded(records: DataFrame, most: int, least: int = 1) -> DataFrame:
+    """The records of one request; a request with fewer or more fails, before any of them is used."""
+    n = records.count()
+    if not least <= n <= most:
+        raise ValueError(f"a request holds {least} to {most} records, not {n}")
+    return records
+
+
 def read_bodies(spark: SparkSession, path: str, most: int) -> DataFrame:
-    """Files of at most ``most`` bytes as (``path``, ``length``, ``content``)."""
-    return spark.read.format("binaryFile").load(path).where(F.col("length") <= most).select("path", "length", "content")
+    """Files as (``path``, ``length``, ``status``, ``content``); one of more than ``most`` bytes is TOO_LONG and has no content."""
+    files = spark.read.format("binaryFile").load(path)
+    fits = F.col("length") <= most
+    return files.select("path", "length", F.when(fits, "OK").otherwise("TOO_LONG").alias("status"), F.when(fits, F.col("content")).alias("content"))
+
+
+def save_report(df: DataFrame, path: str) -> None:
+    """A report as JSON lines, in place of an older one."""
+    df.write.mode("overwrite").json(path)
 
 
-def append(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Append rows to a Parquet table, partitioned by the given columns."""
+def append(df: DataFrame, path: str, by: list[str] | None = None, chunk: int | None = None) -> None:
+    """Append rows to a Parquet table, partitioned by the given columns, in files of at most ``chunk`` rows."""
     writer = df.write.mode("append")
+    writer = writer.option("maxRecordsPerFile", chunk) if chunk else writer
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 

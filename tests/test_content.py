@@ -68,7 +68,7 @@ def test_columns(spark):
     stored = spark.createDataFrame([(base64.b64encode(body).decode(), sha, 5), ("ZGF0b3M=", sha, 4), ("ZGF0b3M=", "0", 5), ("!!", sha, 5)], "c string, s string, n int")
     assert [r[0] for r in stored.select(N.stored_status(F.col("c"), F.col("s"), F.col("n"))).collect()] == ["OK", "SIZE", "HASH", "INVALID"]
     dates = spark.createDataFrame([("D:20240305120000", "5 de marzo de 2024"), ("20240230", "31 de febrero 2024"), (None, "x")], "p string, s string")
-    assert [tuple(r) for r in dates.select(N.pdf_date(F.col("p")), N.spanish_date(F.col("s"))).collect()] == [(date(2024, 3, 5), date(2024, 3, 5)), (None, None), (None, None)]
+    assert [tuple(r) for r in dates.select(N.pdf_date(F.col("p")), N.spanish_dates(F.col("s"))).collect()] == [(date(2024, 3, 5), [date(2024, 3, 5)]), (None, []), (None, [])]
     page = spark.createDataFrame([("<tr><td>DÓLAR</td> <td align=r>USD</td><td>6.96</td></tr>",)], "h string")
     assert float(page.select(N.table_reading(F.col("h"), ["DÓLAR", "USD"])).first()[0]) == 6.96
 
