@@ -111,9 +111,13 @@ def content_tokens(text: Column) -> Column:
 
 def shingles(tokens: Column, size: int = 5) -> Column:
     """distinct windows of ``size`` tokens; a shorter list is one shingle, an empty one none."""
-    n = F.size(tokens)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, size), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(windows))
+
+    def windows(t: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - size + 1, F.lit(1)))
+        joined = F.transform(starts, lambda i: F.array_join(F.slice(t, i, size), " "))
+        return F.when(F.size(t) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(joined))
+
+    return F.get(F.transform(F.array(tokens), windows), F.lit(0))  # the tokens may hold a UDF, which no lambda may
 
 
 def jaccard(a: Column, b: Column) -> Column:

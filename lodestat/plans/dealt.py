@@ -90,7 +90,7 @@ _PATHS7 = """
 
 _BELOW7 = """
     SELECT '{0}' AS hierarchy, a.anc AS ancestor_id, a.id AS descendant_id, CAST(a.dist AS INTEGER) AS distance
-    FROM {0}_anc a JOIN {0}_r r ON a.id = r.id LEFT JOIN {0}_loop l ON a.id = l.id WHERE l.id IS NULL AND NOT coalesce(r.below, false)"""
+    FROM {0}_anc a WHERE a.id NOT IN (SELECT id FROM {0}_loop) AND a.anc NOT IN (SELECT id FROM {0}_loop)"""
 
 SQL = {
     "p1_found": """

@@ -58,6 +58,7 @@ QUERIES = {n: globals()[n] for n in _NAMES}
 _AGG = "event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(28,6))) AS DECIMAL(38,6)) AS total"
 SQL = {
     "event_windows": f"SELECT epoch_us(date_trunc('day', ts)) AS start_us, {_AGG} FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
+    "stream_windows": f"SELECT epoch_us(date_trunc('day', ts)) AS start_us, {_AGG} FROM (SELECT DISTINCT ON (event_id) * FROM events WHERE ts IS NOT NULL) GROUP BY 1, 2",
     "event_sliding": f"SELECT epoch_us(date_trunc('day', ts) - k * INTERVAL 1 DAY) AS start_us, {_AGG} FROM events, (VALUES (0), (1)) AS v(k) WHERE ts IS NOT NULL GROUP BY 1, 2",
     "event_sessions": """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
