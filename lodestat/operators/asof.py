@@ -10,18 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestat.sources.tables import bucket_count
+from lodestat.sources.tables import bucket_count, materialise
 
 #: Requests of one entity beyond this number are spread over several buckets.
 HOT_ENTITY_ROWS = 100_000
 
+#: Buckets for each task, so that tasks get about equal shares although buckets meet in them by hash.
+BUCKETS_A_TASK = 4
+
 _RANK = "__rank"
 _AVAIL = "__avail"
 _BUCKET = "__bucket"
 _SALT = "__salt"
+_HOT = "__hot"
 
 
-def _bucket_join(keys: Sequence[str], as_of: str, left_cols: Sequence[str], payload: Sequence[str], schema: pa.Schema):
+def _bucket_join(keys: Sequence[str], as_of: str, left_cols: Sequence[str], payload: Sequence[str], schema: pa.Schema, once: bool):
     """The function run on one bucket: build the versions' running best, then ASOF join."""
     quote = lambda c: '"' + c.replace('"', '""') + '"'
     by = ", ".join(f"__e{i}" for i in range(len(keys)))
@@ -35,7 +39,7 @@ def _bucket_join(keys: Sequence[str], as_of: str, left_cols: Sequence[str], payl
                                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best
             FROM versions
         )
-        SELECT {left}, {right}
+        SELECT {"DISTINCT" if once else ""} {left}, {right}
         FROM requests r ASOF LEFT JOIN state s ON {on} AND r.{quote(as_of)} >= s.{_AVAIL}
     """
 
@@ -70,6 +74,7 @@ def as_known_at(
     *,
     hot_rows: int = HOT_ENTITY_ROWS,
     bytes_per_bucket: int = 16 << 20,
+    once: bool = False,
 ) -> DataFrame:
     """Give each request the version of its entity that was known on the request's day.
 
@@ -86,11 +91,13 @@ def as_known_at(
     each bucket an embedded DuckDB turns the history into current-state versions
     (the best of all that was available so far) and runs ASOF LEFT JOIN. Requests
     of an entity with more than ``hot_rows`` requests are salted over several
-    buckets, to each of which the bounded history is copied.
+    buckets, to each of which the bounded history is copied; the hot entities are
+    counted first and kept as a table of their own, at most one for every
+    ``hot_rows`` requests. Each side is then shuffled once.
 
     Null keys, null days and unknown entities give null payloads; a version with a
     null first ``available`` column never counts; repeated requests each keep their
-    row; empty tables give an empty result or null payloads; other columns of the
+    row, or with ``once`` one row in all (they meet in one bucket); empty tables give an empty result or null payloads; other columns of the
     versions are ignored, so clashing names do no harm.
     """
     keys, extra = list(entity), [*precedence, *payload]
@@ -105,20 +112,20 @@ def as_known_at(
     left_cols = requests.columns
     asked = requests.select(*(F.col(k).alias(f"__e{i}") for i, k in enumerate(keys)), *left_cols)
     eks = [f"__e{i}" for i in range(len(keys))]
-    hot = (
-        asked.groupBy(*eks).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
-        .select(*(F.col(k).alias(f"__h{k}") for k in eks), F.ceil(F.col("n") / hot_rows).cast("int").alias("__parts"))
-    )
-    on_hot = lambda d: d.join(hot, reduce(lambda a, b: a & b, (F.col(k) == F.col(f"__h{k}") for k in eks)), "left").drop(*(f"__h{k}" for k in eks))
+    # by the keys' hash: two entities that share one are salted together, which does no harm
+    counted = asked.groupBy(F.xxhash64(*eks).alias(_HOT)).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
+    hot = materialise(counted.select(_HOT, F.ceil(F.col("n") / hot_rows).cast("int").alias("__parts")))
+    on_hot = lambda d: d.join(hot, F.xxhash64(*eks) == hot[_HOT], "left").drop(_HOT)
     n = bucket_count(requests, versions, bytes_per_bucket=bytes_per_bucket)
-    bucket = F.pmod(F.xxhash64(*eks, _SALT), F.lit(n)).cast("int").alias(_BUCKET)
+    bucket = F.pmod(F.xxhash64(*eks, _SALT), F.lit(BUCKETS_A_TASK * n)).cast("int").alias(_BUCKET)
     parts = F.coalesce("__parts", F.lit(1))
     asked = on_hot(asked).withColumn(_SALT, F.pmod(F.xxhash64(*left_cols), parts).cast("int")).select(bucket, *eks, *left_cols)
     history = on_hot(history).withColumn(_SALT, F.explode(F.sequence(F.lit(0), parts - 1))).select(bucket, *eks, _AVAIL, _RANK)
     out = T.StructType([*requests.schema.fields, *(T.StructField(f"v_{c}", versions.schema[c].dataType) for c in payload)])
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    run = _bucket_join(keys, as_of, left_cols, list(payload), to_arrow_schema(out))
+    run = _bucket_join(keys, as_of, left_cols, list(payload), to_arrow_schema(out), once)
+    asked, history = asked.repartition(n, _BUCKET), history.repartition(n, _BUCKET)  # as many tasks as the data ask for, whatever the session's number of partitions
     return asked.groupBy(_BUCKET).cogroup(history.groupBy(_BUCKET)).applyInArrow(run, out)
 
 
@@ -126,7 +133,8 @@ def known_revisions(requests: DataFrame, revisions: DataFrame) -> DataFrame:
     """The revision of each request's series and period known on its vintage date.
 
     Only PUBLISHED and SUPERSEDED revisions count. The latest vintage date wins,
-    then the highest revision number, then the highest id.
+    then the highest revision number, then the highest id. A repeated request gives
+    one row.
     """
     valid = revisions.where(F.col("status").isin("PUBLISHED", "SUPERSEDED"))
     return as_known_at(
@@ -137,4 +145,5 @@ def known_revisions(requests: DataFrame, revisions: DataFrame) -> DataFrame:
         ["vintage_date", "publication_date"],
         ["vintage_date", "revision_number", "observation_revision_id"],
         ["observation_revision_id"],
+        once=True,
     )

@@ -16,7 +16,7 @@ _TREES = (("domain", "statistical_domain", "statistical_domain_id", "parent_doma
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     found = known_revisions(table(spark, d, "vintage_request"), table(spark, d, "observation_revision"))
-    return found.where("v_observation_revision_id IS NOT NULL").select("request_id", F.col("v_observation_revision_id").alias("observation_revision_id")).distinct()
+    return found.where("v_observation_revision_id IS NOT NULL").select("request_id", F.col("v_observation_revision_id").alias("observation_revision_id"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
