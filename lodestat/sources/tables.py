@@ -38,11 +38,14 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df``: write it as a table in the shared checkpoint folder and read it back.
 
     Unlike a checkpointed RDD, the table has a known size, which the join strategy
-    of later plans goes by, and its columns can be pruned.
+    of later plans goes by, and its columns can be pruned. It is deleted with
+    ``release``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/lodestat-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
 
 
