@@ -30,10 +30,15 @@ def default_tokenizer_dir() -> str:
 
 @lru_cache(maxsize=4)
 def encoding(folder: str, name: str):
-    """The tiktoken encoding of a rank file ``name`` in ``folder``; loaded once in each Python worker."""
+    """The tiktoken encoding of a rank file ``name`` in ``folder``, or as sent with the application; loaded once in each Python worker."""
     import tiktoken
 
-    with open(f"{folder}/{name}.tiktoken", "rb") as f:
+    path = f"{folder}/{name}.tiktoken"
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(f"{name}.tiktoken")
+    with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
     return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
@@ -76,9 +81,11 @@ def encode_column(docs: DataFrame, key: str, text: str, *, folder: str | None =
 
     Null and empty texts give an empty list (0 tokens). Text that looks like a
     special token is ordinary text. Rows keep their number and repeat as they do
-    in the input; no shuffle takes place.
+    in the input; no shuffle takes place. The rank file is sent to executors that
+    do not have its folder.
     """
     where = folder or default_tokenizer_dir()
+    docs.sparkSession.sparkContext.addFile(f"{where}/{name}.tiktoken")  # for executors without the folder
     kind = docs.schema[key].dataType
     field = T.StructField("n_tokens", T.LongType()) if counts_only else T.StructField("ids", T.ArrayType(T.IntegerType(), False))
 
