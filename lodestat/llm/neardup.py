@@ -16,27 +16,26 @@ from lodestat.sources.tables import materialise
 
 #: Words in a shingle.
 WIDTH = 5
-#: MinHash signature: bands of rows; a pair of similarity s is missed by all bands with (1 - s**ROWS)**BANDS.
-ROWS, BANDS = 3, 38
-#: Signature positions compared at a time by the sequential test.
-BATCH = 19
+#: MinHash signature: bands of rows; a pair of similarity s is missed by all bands with (1 - s**ROWS)**BANDS, one of 0.65 in 1 case
+#: of 12 000. Fewer rows a band would do with fewer bands, but then a phrase that many texts share makes bands of texts that share nothing else.
+ROWS, BANDS = 4, 48
+#: Signature positions compared at a time by the sequential test, and the bits kept of each.
+BATCH, BITS = 24, 8
 #: Probability of pruning a pair whose similarity reaches the threshold.
 MISS = 1e-5
 
-#: The same for the first batch, the number of agreeing bands. A pair of similarity 0.65 has one band or none in 1 case of 14 000.
-BAND_MISS = 2e-4
-
 #: Characters and hashes that a Python worker works on at a time, about; a longer text is worked on alone.
 MOST_CHARS, MOST_HASHES = 2_000_000, 250_000
 
-_WORD = re.compile("[a-z0-9]+")
+#: Small letters and digits as they are, everything else a blank.
+_PLAIN = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
 _MARKS = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]")
 
 
 class _WordHashes(dict):
     """64-bit hashes of words, computed once each; bounded."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) > 500_000:
@@ -48,10 +47,16 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
+def _words(text: str) -> list[bytes]:
+    text = text.lower()
+    if not text.isascii():
+        text = _MARKS.sub("", unicodedata.normalize("NFD", text))
+    return text.encode("ascii", "replace").translate(_PLAIN).split()
+
+
 def words(text: str) -> list[str]:
     """Lower-case, decompose, drop combining marks; the runs of a-z and 0-9."""
-    text = text.lower()
-    return _WORD.findall(text if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", text)))
+    return [w.decode() for w in _words(text)]
 
 
 @lru_cache(maxsize=4)
@@ -63,10 +68,10 @@ def _odd(n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: Sequence[str], width: int = WIDTH) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the ``width``-word sequences of each whole text; none of one with fewer words."""
-    flat: list[str] = []
+    flat: list[bytes] = []
     ends = []
     for text in texts:
-        flat += words(text)
+        flat += _words(text)
         ends.append(len(flat))
     lens = np.diff(np.array([0, *ends]))
     n = len(flat) - width + 1
@@ -96,7 +101,7 @@ def shingle_hashes(text: str, width: int = WIDTH) -> np.ndarray:
 
 
 def signatures(sets: Sequence[np.ndarray], n: int = ROWS * BANDS) -> np.ndarray:
-    """MinHash signatures of non-empty sets: of each of ``n`` hash functions 16 bits of the element with the least value."""
+    """MinHash signatures of non-empty sets: of each of ``n`` hash functions ``BITS`` bits of the element with the least value."""
     a, b = _odd(n, 32)
     starts = np.cumsum([0, *map(len, sets[:-1])])
     x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
@@ -106,22 +111,23 @@ def signatures(sets: Sequence[np.ndarray], n: int = ROWS * BANDS) -> np.ndarray:
         np.multiply(x, a[j], out=value)
         value += b[j]
         out[:, j] = np.minimum.reduceat(value, starts)
-    return ((out * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
+    return ((out * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.uint8)
 
 
 @lru_cache(maxsize=16)
 def keep_bounds(threshold: float, n: int, batch: int = BATCH, miss: float = MISS) -> tuple[tuple[int, int], ...]:
     """(positions compared, fewest matches that keep a pair) of each batch.
 
-    With a uniform prior on the similarity the posterior after m of k matches is
-    Beta(m + 1, k - m + 1). A pair is pruned once the posterior probability of
-    reaching the threshold is below ``miss``.
+    A position of two sets agrees with the probability of their similarity, or by
+    chance in the bits kept. The prior is uniform. A pair is pruned once the
+    posterior probability of reaching the threshold is below ``miss``.
     """
     grid = (np.arange(4000) + 0.5) / 4000
+    agree = grid + (1 - grid) / 2**BITS
     out = []
     for k in range(batch, n + 1, batch):
         for m in range(k + 1):
-            log = m * np.log(grid) + (k - m) * np.log1p(-grid)
+            log = m * np.log(agree) + (k - m) * np.log1p(-agree)
             weight = np.exp(log - log.max())
             if weight[grid >= threshold].sum() >= miss * weight.sum():
                 out.append((k, m))
@@ -129,22 +135,6 @@ def keep_bounds(threshold: float, n: int, batch: int = BATCH, miss: float = MISS
     return tuple(out)
 
 
-def least_bands(threshold: float, bands: int = BANDS, rows: int = ROWS, miss: float = BAND_MISS) -> int:
-    """Fewest agreeing bands with which the posterior probability of reaching the threshold is at least ``miss``.
-
-    A band of ``rows`` positions agrees with probability s**rows at similarity s;
-    the prior is uniform. This is the first batch of the sequential test.
-    """
-    grid = (np.arange(4000) + 0.5) / 4000
-    p = grid**rows
-    for m in range(1, bands + 1):
-        log = m * np.log(p) + (bands - m) * np.log1p(-p)
-        weight = np.exp(log - log.max())
-        if weight[grid >= threshold].sum() >= miss * weight.sum():
-            return m
-    return bands
-
-
 def survives(a: np.ndarray, b: np.ndarray, bounds: Sequence[tuple[int, int]]) -> np.ndarray:
     """Which pairs of signature rows pass all batches of the sequential test."""
     alive, matches, done = np.arange(len(a)), np.zeros(len(a), dtype=np.int32), 0
@@ -192,8 +182,7 @@ def text_signatures(texts: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def banded(reps: DataFrame) -> DataFrame:
     """(``id``, ``band``): a key for each band of the packed signatures."""
-    width = 2 * ROWS
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring(F.col("sig"), i * width + 1, F.lit(width)), i))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.substring(F.col("sig"), i * ROWS + 1, F.lit(ROWS)), i))
     return reps.select("id", F.explode(keys).alias("band"))
 
 
@@ -202,17 +191,15 @@ def candidate_pairs(reps: DataFrame, threshold: float) -> DataFrame:
 
     Sets that agree in any band are candidates. The join on the band key lets AQE
     split hot bands; no pair is dropped by a cap. The sequential test prunes
-    candidates, first by the number of agreeing bands, then by batches of their
-    signatures.
+    candidates by batches of their signatures.
     """
     n = ROWS * BANDS
     left, right = (banded(reps).select(F.col("id").alias(x), "band") for x in "ab")
-    agreeing = left.join(right, "band").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("bands"))
-    candidates = agreeing.where(F.col("bands") >= least_bands(threshold)).select("a", "b")
+    candidates = left.join(right, "band").where("a < b").select("a", "b").distinct()
     bounds = keep_bounds(threshold, n)
 
     def unpacked(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(column.buffers()[2], np.uint16, len(column) * n, 2 * n * column.offset).reshape(-1, n)
+        return np.frombuffer(column.buffers()[2], np.uint8, len(column) * n, n * column.offset).reshape(-1, n)
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,13 +220,13 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, width:
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for lo, hi in _portions([s + t for s, t in zip(x, y)], MOST_CHARS):
+            for lo, hi in _portions(y, MOST_CHARS):
                 text = dict(zip(a[lo:hi], x[lo:hi])) | dict(zip(b[lo:hi], y[lo:hi]))
-                sets = dict(zip(text, shingle_sets(list(text.values()), width)))
+                sets = {i: frozenset(s.tolist()) for i, s in zip(text, shingle_sets(list(text.values()), width))}
                 found = []
                 for i, j in zip(a[lo:hi], b[lo:hi]):
                     p, q = sets[i], sets[j]
-                    common = len(p) + len(q) - _joint(p, q)
+                    common = len(p & q)
                     if common >= threshold * (len(p) + len(q) - common):
                         found.append((i, j, common / (len(p) + len(q) - common)))
                 columns = zip(*found) if found else ((), (), ())
@@ -251,13 +238,6 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, width:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def _joint(p: np.ndarray, q: np.ndarray) -> int:
-    """Size of the union of two sorted sets."""
-    both = np.concatenate([p, q])
-    both.sort(kind="stable")
-    return len(both) - int((both[1:] == both[:-1]).sum())
-
-
 def near_duplicates(docs: DataFrame, key: str, columns: Sequence[str], threshold: float) -> tuple[DataFrame, DataFrame]:
     """Membership (``id``, ``rep``) in classes of equal texts, and the similar pairs (``a``, ``b``, ``similarity``) of representatives.
 

@@ -51,8 +51,8 @@ def test_words_and_long_text(spark):
 def test_sequential_test_keeps_equal_signatures():
     import numpy as np
 
-    a = np.arange(114).reshape(1, -1).astype(np.int32)
+    a = np.arange(192).reshape(1, -1).astype(np.int32)
     b = a.copy()
     b[0, ::2] += 1000
-    bounds = keep_bounds(0.6, 114)
-    assert survives(a, a, bounds).all() and not survives(a, b + 5000, bounds).any() and [k for k, _ in bounds][-1] == 114
+    bounds = keep_bounds(0.6, 192)
+    assert survives(a, a, bounds).all() and not survives(a, b + 5000, bounds).any() and [k for k, _ in bounds][-1] == 192
