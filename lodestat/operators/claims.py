@@ -34,25 +34,36 @@ def first_of(rows: DataFrame, group: str, key: str) -> DataFrame:
     return rows.groupBy(group).agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("n"))
 
 
-def conflicts(claims: DataFrame) -> DataFrame:
-    """Of each subject (domain and date) the contents that contradict the first one.
-
-    ``claims``: (``candidate_id``, ``subject``, ``event_date``, ``hash``). The first
-    content of a subject is its reference; each different content is one
-    contradiction, held by its own first claim. Grouping by content first keeps
-    a hot subject from being joined with itself.
+def conflicts(claims: DataFrame, identifiers: tuple[str, ...] = ("subject",)) -> DataFrame:
+    """Of each subject (identifiers and date) the contents that contradict the first one.
+
+    ``claims``: (``candidate_id``, the identifiers, ``event_date``, ``hash``). A subject
+    has a date and at least one identifier; the others may be null, and null is
+    the same as null. The first content of a subject is its reference; each
+    different content is one contradiction, held by its own first claim. Grouping
+    by content first keeps a hot subject from being joined with itself.
     """
-    known = claims.where(F.col("subject").isNotNull() & F.col("event_date").isNotNull())
-    contents = known.groupBy("subject", "event_date", "hash").agg(F.min("candidate_id").alias("first_id"), F.count(F.lit(1)).alias("claims"))
-    primary = contents.groupBy("subject", "event_date").agg(F.min("first_id").alias("primary_id"))
-    return contents.join(primary, ["subject", "event_date"]).where("first_id <> primary_id").select("subject", "event_date", "primary_id", F.col("first_id").alias("contradicting_id"), "claims")
+    known = claims.where(F.coalesce(*(F.col(c).cast("string") for c in identifiers)).isNotNull() & F.col("event_date").isNotNull())
+    contents = known.groupBy(*identifiers, "event_date", "hash").agg(F.min("candidate_id").alias("first_id"), F.count(F.lit(1)).alias("claims"))
+    contents = contents.withColumn("_subject", F.to_json(F.struct(*identifiers, "event_date"), {"ignoreNullFields": "false"}))  # one key, in which null is a value
+    primary = contents.groupBy("_subject").agg(F.min("first_id").alias("primary_id"))
+    return contents.join(primary, "_subject").where("first_id <> primary_id").select(*identifiers, "event_date", "primary_id", F.col("first_id").alias("contradicting_id"), "claims")
 
 
 def corroboration(rows: DataFrame, key: list[str], publisher: Column, verified: Column, content: Column) -> DataFrame:
-    """Sources, publishers and contents of each claim, and whether they corroborate independently."""
-    out = rows.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("sources"), F.count_distinct(publisher).alias("publishers"), F.count_distinct(F.when(verified, publisher)).alias("verified_publishers"),
-        F.count_if(~F.coalesce(verified, F.lit(False))).alias("unverified_sources"), F.count_distinct(content).alias("contents"),
+    """Sources, publishers and contents of each claim, and whether they corroborate independently.
+
+    Each row is counted by publisher and by content; distinct values are groups of
+    a first aggregation, so that a claim's counts are sums and hot claims combine
+    before they are shuffled.
+    """
+    seen = F.coalesce(verified, F.lit(False))
+    both = F.explode(F.array(F.struct(F.lit("P").alias("of"), publisher.cast("string").alias("value"), seen.alias("ok")), F.struct(F.lit("C").alias("of"), content.cast("string").alias("value"), F.lit(False).alias("ok")))).alias("s")
+    once = rows.select(*key, both).select(*key, "s.*").groupBy(*key, "of", "value").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("good"))
+    named, by = F.col("value").isNotNull(), F.col("of") == "P"
+    out = once.groupBy(*key).agg(
+        F.sum(F.when(by, F.col("n"))).alias("sources"), F.count_if(by & named).alias("publishers"), F.count_if(by & named & (F.col("good") > 0)).alias("verified_publishers"),
+        F.sum(F.when(by, F.col("n") - F.col("good"))).alias("unverified_sources"), F.count_if(~by & named).alias("contents"),
     )
     return out.withColumn("independent", (F.col("verified_publishers") > 1) & (F.col("contents") > 1))
 

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A decimal as it may arrive: no exponent, no plus sign, no leading zeros.
@@ -86,16 +85,15 @@ def batch_rollup(rows: DataFrame, batch: str, accepted: Column) -> DataFrame:
 
 
 def upsert(target: DataFrame, incoming: DataFrame, keys: Sequence[str], latest: Sequence[str]) -> DataFrame:
-    """The target with the incoming rows put in by key; of several the greatest in ``latest`` counts."""
-    w = W.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in latest))
-    new = incoming.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The target with the incoming rows put in by key; of several the greatest in ``latest`` counts. A hot key combines before it is shuffled."""
+    new = incoming.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.max_by(F.struct(*incoming.columns), F.struct(*latest)).alias("v")).select("v.*")
     return target.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
 
 
 def insert_if_absent(target: DataFrame, incoming: DataFrame, keys: Sequence[str], first: Sequence[str]) -> DataFrame:
-    """Incoming rows whose key is new, the first of each in the order of ``first``."""
-    w = W.partitionBy(*keys).orderBy(*first)
-    return incoming.join(target.select(*keys).distinct(), list(keys), "left_anti").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """Incoming rows whose key is new, the first of each in the order of ``first``. A hot key combines before it is shuffled."""
+    fresh = incoming.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min_by(F.struct(*incoming.columns), F.struct(*first)).alias("v")).select("v.*")
+    return fresh.join(target.select(*keys).distinct(), list(keys), "left_anti").select(*incoming.columns)
 
 
 def register_artifacts(rows: DataFrame, key: str, body: str) -> DataFrame:

@@ -90,10 +90,12 @@ def dimension_values(rows: DataFrame, key: str = "series_id") -> DataFrame:
     )
 
 
-def with_dimensions(rows: DataFrame, dims: DataFrame, wanted: dict[str, str], key: str = "series_id") -> DataFrame:
-    """Rows whose series has every wanted dimension value, by one semi-join each."""
+def with_dimensions(rows: DataFrame, dims: DataFrame, wanted: dict[str, str | tuple[str, str]], key: str = "series_id") -> DataFrame:
+    """Rows whose series has every wanted dimension value, by one semi-join each; (kind, value) asks for a value of that kind."""
     for code, value in wanted.items():
-        rows = rows.join(dims.where((F.col("code") == code) & (F.col("value") == value)).select(key), key, "left_semi")
+        kind, value = value if isinstance(value, tuple) else (None, value)
+        hit = dims.where((F.col("code") == code) & (F.col("value") == value))
+        rows = rows.join((hit if kind is None else hit.where(F.col("kind") == kind)).select(key), key, "left_semi")
     return rows
 
 
@@ -105,7 +107,8 @@ class ObservationQuery:
     period_from: date | None = None
     period_to: date | None = None
     vintage: date | None = None
-    dimensions: dict[str, str] = field(default_factory=dict)
+    dimensions: dict[str, str | tuple[str, str]] = field(default_factory=dict)
+    equal: dict[str, str] = field(default_factory=dict)
     descending: bool = False
     page: int = 1
     size: int = 50
@@ -124,6 +127,8 @@ class ObservationQuery:
         timed = intervals(revisions)
         chosen = as_of(timed, self.vintage) if self.vintage else current(timed)
         rows = chosen.where(self.scope.predicate()).where(overlapping(self.period_from, self.period_to))
+        for column, value in self.equal.items():  # P5
+            rows = rows.where(F.col(column) == value)
         return with_dimensions(rows, dimension_values(revisions), self.dimensions) if self.dimensions else rows
 
     def run(self, revisions: DataFrame) -> DataFrame:
@@ -184,15 +189,19 @@ def enriched(page: DataFrame, children: DataFrame, key: str, item: Sequence[str]
     return page.join(lists, key, "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(lists.schema[name].dataType)))
 
 
+#: The order of ``intervals``: windows in it need no further sort.
+_BY_TIME = ("capture_date", "observation_revision_id")
+
+
 def unchanged(timed: DataFrame, value: str = "numeric_value", keys: Sequence[str] = OBSERVATION) -> DataFrame:
     """Whether each revision states what the one before it stated (``unchanged``)."""
-    before = F.lag(value).over(W.partitionBy(*keys).orderBy("version"))
+    before = F.lag(value).over(W.partitionBy(*keys).orderBy(*_BY_TIME))
     return timed.withColumn("unchanged", (F.col("version") > 1) & F.col(value).eqNullSafe(before))
 
 
 def revised_from(timed: DataFrame, keys: Sequence[str] = OBSERVATION) -> DataFrame:
     """D-C: lineage edges from each revision to the one it replaced."""
-    before = F.lag("observation_revision_id").over(W.partitionBy(*keys).orderBy("version"))
+    before = F.lag("observation_revision_id").over(W.partitionBy(*keys).orderBy(*_BY_TIME))
     edges = timed.withColumn("from_id", before).where("from_id IS NOT NULL")
     return edges.select(F.col("observation_revision_id").alias("to_id"), "from_id", F.lit("REVISED_FROM").alias("relation"))
 

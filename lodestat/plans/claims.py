@@ -12,7 +12,7 @@ from lodestat.functions import text as X
 from lodestat.functions import urls as U
 from lodestat.operators import claims as C
 from lodestat.operators import observations as O
-from lodestat.sources.tables import table
+from lodestat.sources.tables import materialise, table
 
 
 #: Categories that each day should have.
@@ -215,7 +215,7 @@ def optional_filter(spark, d, entity_type: str | None = "PUBLISHER", short: str
 def claim_search(spark, d):
     """A page of claims with their source, their names and the number of different claims on their subject."""
     c = cand(spark, d).withColumn("hash", _hash())
-    page = c.orderBy(F.col("event_date").desc_nulls_last(), "candidate_id").limit(100).select("candidate_id", "event_date", "statistical_domain_id", "response_id", "hash")
+    page = materialise(c.orderBy(F.col("event_date").desc_nulls_last(), "candidate_id").limit(100).select("candidate_id", "event_date", "statistical_domain_id", "response_id", "hash"))  # used four times
     source = table(spark, d, "source_response").select("response_id", "source_code").distinct()
     names = O.enriched(page, table(spark, d, "resolved_mention").select("candidate_id", "mention_text").distinct(), "candidate_id", ["mention_text"], "names").select("candidate_id", F.array_join(F.transform("names", lambda x: x["mention_text"]), "|").alias("names"))
     key = ["event_date", "statistical_domain_id"]

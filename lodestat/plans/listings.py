@@ -128,6 +128,19 @@ def lineage_touching(spark, d):
     return L.sides(edges, "to_id", "from_id", "id").join(own, "id", "left_semi").select("to_id", "from_id").distinct()
 
 
+def conflicting_subjects(spark, d):
+    """Conflicts about a domain and horizon, either of which may be null."""
+    rows = table(spark, d, "candidate").select("candidate_id", "statistical_domain_id", "time_horizon", F.to_date(F.date_trunc("month", "event_date")).alias("event_date"), PC._hash().alias("hash"))
+    return C.conflicts(rows, ("statistical_domain_id", "time_horizon"))
+
+
+def series_filtered(spark, d):
+    """The current values of one source whose place is written as a geography and whose frequency is monthly."""
+    place = O.dimension_values(PO.revisions(spark, d)).where("code = 'GEO'").agg(F.min("value")).first()[0]
+    q = O.ObservationQuery(O.Scope(unrestricted=True), dimensions={"GEO": ("geography", place or ""), "FREQ": ("code", "M")}, equal={"status": "PUBLISHED"})
+    return q.select(PO.revisions(spark, d)).select("observation_revision_id", "series_id")
+
+
 def bulk_update(spark, d):
     rows = L.conditional_update(table(spark, d, "candidate"), (F.col("confidence_score") < 0.5) & (F.col("impact_level") != "LOW"), {"confidence_level": F.lit("LOW"), "confidence_score": F.least(F.col("confidence_score"), F.lit(0.25))})
     return rows.select("candidate_id", "confidence_level", "confidence_score", "updated")
@@ -255,7 +268,7 @@ def review_queue(spark, d):
 
 
 _NAMES = (
-    "claim_disclosure claim_contradictions claim_page observation_search observation_cursor issue_listing source_listing organization_listing response_by_id run_status issue_targets lineage_touching bulk_update "
+    "claim_disclosure claim_contradictions claim_page observation_search observation_cursor issue_listing source_listing organization_listing response_by_id run_status issue_targets lineage_touching conflicting_subjects series_filtered bulk_update "
     "running_counters cited_responses provenance_issues dimension_references dimension_kinds series_compatibility merged_mentions definition_lookup top_conflicts candidate_lists names_sorted comparable_subjects "
     "json_merge canonical_json body_summaries route_patterns public_urls publication_window calibration review_queue"
 ).split()
@@ -295,6 +308,11 @@ SQL = {
         UNION ALL SELECT 'FACT_CLAIM', CAST(candidate_id AS VARCHAR), claim_type FROM cl WHERE status = 'QUARANTINED' OR confidence_score IS NULL""",
     "lineage_touching": f"""WITH e AS ({PO.SQL['lineage_revised_from']}) SELECT DISTINCT to_id, from_id FROM e
         WHERE to_id IN (SELECT observation_revision_id FROM observation_revision WHERE source_code = 'SRC_SIPRERN') OR from_id IN (SELECT observation_revision_id FROM observation_revision WHERE source_code = 'SRC_SIPRERN')""",
+    "conflicting_subjects": f"""WITH k AS (SELECT statistical_domain_id, time_horizon, CAST(date_trunc('month', event_date) AS DATE) AS event_date, {PC._HASH} AS hash, min(candidate_id) AS first_id, count(*) AS claims FROM candidate
+          WHERE (statistical_domain_id IS NOT NULL OR time_horizon IS NOT NULL) AND event_date IS NOT NULL GROUP BY 1, 2, 3, 4)
+        SELECT statistical_domain_id, time_horizon, event_date, primary_id, first_id AS contradicting_id, claims FROM (SELECT *, min(first_id) OVER (PARTITION BY statistical_domain_id, time_horizon, event_date) AS primary_id FROM k) WHERE first_id <> primary_id""",
+    "series_filtered": f"""WITH {PO._T}, {PO._D}, g AS (SELECT min(value) AS v FROM d WHERE code = 'GEO') SELECT observation_revision_id, series_id FROM c WHERE status = 'PUBLISHED'
+        AND series_id IN (SELECT series_id FROM d, g WHERE code = 'GEO' AND kind = 'geography' AND value = v) AND series_id IN (SELECT series_id FROM d WHERE code = 'FREQ' AND kind = 'code' AND value = 'M')""",
     "bulk_update": "SELECT candidate_id, CASE WHEN u THEN 'LOW' ELSE confidence_level END AS confidence_level, CASE WHEN u THEN least(confidence_score, 0.25) ELSE confidence_score END AS confidence_score, u AS updated FROM (SELECT *, coalesce(confidence_score < 0.5 AND impact_level <> 'LOW', false) AS u FROM candidate)",
     "running_counters": f"""WITH {PO._R}, g AS (SELECT source_code, CAST(capture_date AS DATE) AS day, count(*) AS received, count(*) FILTER (status IN ('PUBLISHED', 'SUPERSEDED')) AS accepted FROM r WHERE capture_date IS NOT NULL GROUP BY 1, 2)
         SELECT *, CAST(sum(received) OVER w AS BIGINT) AS received_so_far, CAST(sum(accepted) OVER w AS BIGINT) AS accepted_so_far FROM g WINDOW w AS (PARTITION BY source_code ORDER BY day)""",

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
-def event_stream(spark: SparkSession, path: str, schema: StructType, *, files_per_trigger: int = 1) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, schema: StructType, *, files_per_trigger: int = 1000) -> DataFrame:
     """Events from a growing folder of Parquet files; ``ts`` becomes an instant in UTC."""
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
