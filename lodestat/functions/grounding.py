@@ -9,14 +9,12 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestat.functions.text import GROUNDING_STOP_WORDS
+from lodestat.functions.text import GROUNDING_STOP_WORDS, NEGATIONS
 
 #: Words that tell a direction.
 UP = re.compile(r"aument\w*|increment\w*|subi\w*|crec\w*|alza|ascend\w*|increas\w*|rise|rose|risen|grow|grew|grown|higher")
 DOWN = re.compile(r"dismin\w*|reduc\w*|baj\w*|cai\w*|cay\w*|descend\w*|contraj\w*|decreas\w*|declin\w*|fall|fell|fallen|drop\w*|lower")
 STABLE = re.compile(r"estable|estables|mantuvo|mantuvieron|unchanged|steady|flat")
-#: Negations, and the words after which they are none.
-NEGATIONS = {"no": ("solo", "solamente", "obstante"), "sin": ("embargo",), "not": ("only",), "nunca": (), "jamas": (), "never": (), "without": ()}
 #: Units a figure may carry, by where their words stand.
 UNIT_BEFORE = {"BOB": r"(?:\bbs\.?|bolivianos?)\s*$", "USD": r"(?:\busd|us\$|\$us|dólares?)\s*$"}
 UNIT_AFTER = {"BOB": r"\s*bolivianos?\b", "USD": r"\s*dólares?\b", "PERCENTAGE_POINTS": r"\s*puntos?\s+porcentuales?\b", "MILLION": r"\s*(?:millones?|mm)\b", "THOUSAND": r"\s*mil\b", "ENERGY": r"\s*(?:mwh|mw|kwh)\b"}
