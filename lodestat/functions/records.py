@@ -117,3 +117,12 @@ def window_issue(published: Column, start: str, end: str) -> Column:
     at = F.try_to_timestamp(published)
     outside = at.isNull() | (at < F.lit(start).cast("timestamp")) | (at > F.lit(end).cast("timestamp"))
     return F.when(published.isNull() | (published == ""), "MISSING_PUBLICATION_DATE").when(outside, "OUTSIDE_PUBLICATION_WINDOW")
+
+
+def local_date_issue(published: Column, run_at: Column, zone: str) -> Column:
+    """MISSING_PUBLICATION_DATE, OUTSIDE_LOCAL_PUBLICATION_DATE (an unreadable one too) or null: whether a written
+    instant falls on the calendar day of ``run_at`` in a zone."""
+    at = F.try_to_timestamp(published)
+    day = lambda c: F.to_date(F.from_utc_timestamp(c, zone))
+    same = F.coalesce(day(at) == day(run_at), F.lit(False))
+    return F.when(published.isNull() | (published == ""), "MISSING_PUBLICATION_DATE").when(~same, "OUTSIDE_LOCAL_PUBLICATION_DATE")

@@ -213,6 +213,11 @@ def series_breaks(timed: DataFrame) -> DataFrame:
     return rows.where(F.col("before").isNotNull() & F.col("unit_measure_id").isNotNull() & (F.col("before") != F.col("unit_measure_id"))).select("series_id", "period_start", "period_end", F.col("before").alias("unit_before"), "unit_measure_id")
 
 
+def series_key(dimensions: Column) -> Column:
+    """The key of a series: its dimensions (``position``, ``code``, ``kind``, ``value``) in order as code=kind:value, joined with pipes."""
+    return F.array_join(F.transform(F.array_sort(dimensions), lambda x: F.concat(x["code"], F.lit("="), x["kind"], F.lit(":"), x["value"])), "|")
+
+
 def series_hash(series_key: Column) -> Column:
     """Identity of a series: SHA-256 of its key as a JSON string."""
     quoted = F.regexp_replace(series_key, r'(["\\])', r"\\$1")

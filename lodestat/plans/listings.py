@@ -141,6 +141,20 @@ def series_filtered(spark, d):
     return q.select(PO.revisions(spark, d)).select("observation_revision_id", "series_id")
 
 
+def series_keys(spark, d):
+    """The keys of all series built anew from their dimensions."""
+    dims = O.dimension_values(PO.revisions(spark, d)).groupBy("series_id").agg(F.collect_list(F.struct("position", "code", "kind", "value")).alias("dims"))
+    return dims.select("series_id", O.series_key(F.col("dims")).alias("series_key"))
+
+
+def local_date_issue(spark, d):
+    """Claims published on the day in La Paz on which their response was captured, as far as both are written as UTC instants."""
+    iso = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$"
+    written = F.when(F.col("published_at").isNull() | (F.col("published_at") == "") | F.col("published_at").rlike(iso), F.col("published_at")).otherwise("?")
+    run_at = (F.coalesce("event_date", F.lit("2024-01-01").cast("date")).cast("timestamp") + F.expr("INTERVAL 12 HOURS"))
+    return table(spark, d, "candidate").select("candidate_id", R.local_date_issue(written, run_at, "America/La_Paz").alias("issue"))
+
+
 def bulk_update(spark, d):
     rows = L.conditional_update(table(spark, d, "candidate"), (F.col("confidence_score") < 0.5) & (F.col("impact_level") != "LOW"), {"confidence_level": F.lit("LOW"), "confidence_score": F.least(F.col("confidence_score"), F.lit(0.25))})
     return rows.select("candidate_id", "confidence_level", "confidence_score", "updated")
@@ -268,7 +282,7 @@ def review_queue(spark, d):
 
 
 _NAMES = (
-    "claim_disclosure claim_contradictions claim_page observation_search observation_cursor issue_listing source_listing organization_listing response_by_id run_status issue_targets lineage_touching conflicting_subjects series_filtered bulk_update "
+    "claim_disclosure claim_contradictions claim_page observation_search observation_cursor issue_listing source_listing organization_listing response_by_id run_status issue_targets lineage_touching conflicting_subjects series_filtered series_keys local_date_issue bulk_update "
     "running_counters cited_responses provenance_issues dimension_references dimension_kinds series_compatibility merged_mentions definition_lookup top_conflicts candidate_lists names_sorted comparable_subjects "
     "json_merge canonical_json body_summaries route_patterns public_urls publication_window calibration review_queue"
 ).split()
@@ -313,6 +327,9 @@ SQL = {
         SELECT statistical_domain_id, time_horizon, event_date, primary_id, first_id AS contradicting_id, claims FROM (SELECT *, min(first_id) OVER (PARTITION BY statistical_domain_id, time_horizon, event_date) AS primary_id FROM k) WHERE first_id <> primary_id""",
     "series_filtered": f"""WITH {PO._T}, {PO._D}, g AS (SELECT min(value) AS v FROM d WHERE code = 'GEO') SELECT observation_revision_id, series_id FROM c WHERE status = 'PUBLISHED'
         AND series_id IN (SELECT series_id FROM d, g WHERE code = 'GEO' AND kind = 'geography' AND value = v) AND series_id IN (SELECT series_id FROM d WHERE code = 'FREQ' AND kind = 'code' AND value = 'M')""",
+    "series_keys": "SELECT DISTINCT series_id, series_key FROM observation_revision",
+    "local_date_issue": r"""SELECT candidate_id, CASE WHEN published_at IS NULL OR published_at = '' THEN 'MISSING_PUBLICATION_DATE' WHEN NOT regexp_matches(published_at, '^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$') THEN 'OUTSIDE_LOCAL_PUBLICATION_DATE'
+        WHEN coalesce(CAST(timezone('America/La_Paz', TRY_CAST(published_at AS TIMESTAMPTZ)) AS DATE) = coalesce(event_date, DATE '2024-01-01'), false) THEN NULL ELSE 'OUTSIDE_LOCAL_PUBLICATION_DATE' END AS issue FROM candidate""",
     "bulk_update": "SELECT candidate_id, CASE WHEN u THEN 'LOW' ELSE confidence_level END AS confidence_level, CASE WHEN u THEN least(confidence_score, 0.25) ELSE confidence_score END AS confidence_score, u AS updated FROM (SELECT *, coalesce(confidence_score < 0.5 AND impact_level <> 'LOW', false) AS u FROM candidate)",
     "running_counters": f"""WITH {PO._R}, g AS (SELECT source_code, CAST(capture_date AS DATE) AS day, count(*) AS received, count(*) FILTER (status IN ('PUBLISHED', 'SUPERSEDED')) AS accepted FROM r WHERE capture_date IS NOT NULL GROUP BY 1, 2)
         SELECT *, CAST(sum(received) OVER w AS BIGINT) AS received_so_far, CAST(sum(accepted) OVER w AS BIGINT) AS accepted_so_far FROM g WINDOW w AS (PARTITION BY source_code ORDER BY day)""",
