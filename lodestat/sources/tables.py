@@ -82,8 +82,8 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def bucket_count(df: DataFrame, *others: DataFrame, bytes_per_bucket: int = 16 << 20) -> int:
-    """How many hash buckets keep each one near ``bytes_per_bucket`` at any input size."""
+    """How many hash buckets keep each one near ``bytes_per_bucket`` at any input size, and all cores busy at a small one."""
     total = sum(plan_bytes(d) for d in (df, *others))
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    least = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     return max(least, -(-total // bytes_per_bucket))
-
